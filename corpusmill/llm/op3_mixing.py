@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: Column, total_share: float = 1.0,
     window over the (small, aggregated) source table.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = sizes.withColumn("_n", F.row_number().over(by_name) - 1).withColumn("_w", weights.cast("double"))
+    w = sizes.withColumn("source_size", F.col("source_size").cast("long")).withColumn("_n", F.row_number().over(by_name) - 1).withColumn("_w", weights.cast("double"))
     w = w.withColumn("_cap", (F.col("source_size") * max_repeats).cast("double"))
     by_level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), "source")
     every = Window.partitionBy()
@@ -52,13 +52,14 @@ def source_targets(sizes: DataFrame, weights: Column, total_share: float = 1.0,
         w.withColumn("_total", F.sum("source_size").over(every) * F.lit(float(total_share)))
         .withColumn("_caps", F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("_rest", F.sum("_w").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        # the water level if all before this source are at their bound and none from it on
+        # the water level if all before this source are at their bound and none from it on; it only falls
+        # once it is in reach, so the largest one in reach is the level
         .withColumn("_level", (F.col("_total") - F.col("_caps")) / F.col("_rest"))
         .withColumn("_open", F.col("_level") * F.col("_w") <= F.col("_cap"))
-        .withColumn("_first", F.min(F.when(F.col("_open"), F.col("_level"))).over(every))
+        .withColumn("_first", F.max(F.when(F.col("_open"), F.col("_level"))).over(every))
     )
     return w.select(
-        "source", "_n", F.col("source_size").cast("long").alias("source_size"),
+        *sizes.columns, "_n",
         F.least(F.col("_cap"), F.coalesce(F.col("_first") * F.col("_w"), F.col("_cap"))).alias("target"),
     )
 
@@ -72,41 +73,50 @@ def position(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: Column, slopes: Column, size: Column | None = None, total_share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text, source), range-sorted by training position.
-
-    Columns: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats
-    counted; at most `max_repeats` times the size), first_position (null if nothing is taken) and
-    passes (copies, the last one maybe in part).  `weights` and `slopes` are columns over the source
-    table and may use `_n` and `source`.
-
-    A source's taken words equal its target to within one word.  Order within a source is by MD5 of
-    doc_id, then doc_id, then size, so reruns and any partitioning agree.  Null texts have size 0
-    and null sources are a source of their own, last in order; rows with null doc_id are kept and
-    come first in the order of the empty string's hash.  Repeated rows are rows of their own.  Extra
-    columns are not carried.  An empty table gives an empty result.
+    """`docs` (doc_id, source, text or a given `size`) with the mix's decision for each row.
+
+    Added columns: size, source_size, target, taken (words that the mix takes, repeats counted; at
+    most `max_repeats` times the size), passes (copies, the last one maybe in part), first_position
+    (training position of the first copy; null if nothing is taken) and positions (an array with the
+    position of each copy).  `weights` and `slopes` are columns over the source table and may
+    use `_n`, the source's number, and `source`.
+
+    A source's taken words equal its target, rounded.  Order within a source is by MD5 of doc_id,
+    then doc_id, then size, so reruns and any partitioning agree.  Null texts have size 0 and null
+    sources are a source of their own, last in order; rows with null doc_id are kept and stand where
+    the empty string's hash stands.  Repeated rows are rows of their own.  Other columns pass
+    through, but are replaced if they have an added column's name.  An empty table gives an empty
+    result.
     """
-    rows = docs.select("doc_id", F.col("source"), (n_words(F.col("text")) if size is None else size).alias("size"))
-    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    buckets = rows.groupBy("source", "_b").agg(F.sum("size").alias("_words"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, total_share, max_repeats)
-    targets = targets.withColumn("_slope", slopes.cast("double"))
-    before = F.sum("_words").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = buckets.select("source", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    starts = starts.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_n")
-    starts = starts.withColumnsRenamed({"source": "_s", "_b": "_sb"})
-    inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    out = out.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
+    added = ("size", "source_size", "target", "taken", "passes", "first_position", "positions")
+    rest = [c for c in docs.columns if c not in added]
+    rows = docs.select(*rest, (n_words(F.col("text")) if size is None else size).cast("long").alias("size"))
+    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # a key that is never null: then the window and the join share one partitioning
+    rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    buckets = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_words"), F.first("source").alias("source"))
+    targets = source_targets(buckets.groupBy("_s").agg(F.sum("_words").alias("source_size"), F.first("source").alias("source")), weights, total_share, max_repeats)
+    targets = targets.withColumn("_slope", slopes.cast("double")).drop("_n", "source")
+    before = F.sum("_words").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = buckets.select("_s", "_b", F.coalesce(before, F.lit(0)).alias("_before")).join(targets, "_s")
+    inner = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, ["_s", "_b"])
     start = F.col("_before") + F.col("_in")
-    whole = F.round("target").cast("long")
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), whole - (start + k * F.col("source_size")))) for k in range(max_repeats)]
-    taken = sum(parts[1:], parts[0]).cast("long")
-    passes = sum((F.when(p > 0, 1).otherwise(0) for p in parts[1:]), F.when(parts[0] > 0, 1).otherwise(0))
-    out = out.withColumn("taken", taken).withColumn("passes", passes.cast("int"))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "passes",
-        F.when(F.col("taken") > 0, F.round(position(start.cast("double"), F.col("target"), F.col("_slope")), 9)).alias("first_position"),
-    ).orderBy("first_position", "doc_id")
+    begins = [start + k * F.col("source_size") for k in range(max_repeats)]
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - b)) for b in begins]
+    at = [F.when(p > 0, F.round(position(b.cast("double"), F.col("target"), F.col("_slope")), 9)) for p, b in zip(parts, begins)]
+    out = out.select(
+        *rest, "size", "source_size", "target",
+        sum(parts[1:], parts[0]).cast("long").alias("taken"),
+        F.filter(F.array(*at), lambda x: x.isNotNull()).alias("positions"),
+    )
+    return out.select("*", F.size("positions").alias("passes"), F.get("positions", F.lit(0)).alias("first_position"))
+
+
+def in_training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of `columns` for each copy that the mix takes, range-sorted by training position."""
+    copies = mixed.select(*columns, F.explode("positions").alias("_position"))
+    return copies.orderBy("_position", "doc_id").select(*columns)
 
 
 def weights() -> Column:
@@ -120,8 +130,8 @@ def slopes() -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, weights(), slopes())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mix(docs, weights(), slopes(), size=F.col("size")).drop("positions").orderBy("first_position", "doc_id")
 
 
 SQL = r"""
@@ -142,7 +152,7 @@ WITH d AS (
             / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c
 ), f AS (
-  SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS first FROM l
+  SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS first FROM l
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(first * w, cap)) AS target, (1 - n % 3) * 0.5 AS a FROM f
 ), o AS (

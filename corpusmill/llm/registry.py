@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_sharding, op3_mixing, op4_licenses, op8_quality
+from . import op1_sharding, op3_mixing, op4_licenses, op6_simhash, op8_quality, op10_decontaminate
 
-MODULES = (op1_sharding, op3_mixing, op4_licenses, op8_quality)
+MODULES = (op1_sharding, op3_mixing, op4_licenses, op6_simhash, op8_quality, op10_decontaminate)
 
 
 def queries() -> dict:
