@@ -1 +1,8 @@
 """Text-classification experiments on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the task: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
