@@ -19,78 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .tokens import groups, seeds, signed32, token_hashes
 
 #: fixed masks: 1 reads a token, 0 ignores it
 MASKS = ("1101100111", "1110010111", "1011011011", "110100110111")
 MIN_MATCHES = 10
 MIN_IDENTITY = 0.8
 BITMAP_BITS = 24
-#: texts are hashed together up to about so many bytes
-GROUP_BYTES = 1 << 21
-
-# hash constants: odd multipliers
-_P = np.uint64(0x9E3779B97F4A7C15)
-_M = np.uint64(0xD6E8FEB86659FD93)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-_CLASS = np.zeros(256, dtype=np.uint8)  # what a byte counts as: 0 separates tokens
-for _b in range(256):
-    if _b >= 128 or chr(_b).isalnum():
-        _CLASS[_b] = ord(chr(_b).lower()) if _b < 128 else _b
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M
-    x = (x ^ (x >> np.uint64(29))) * _M
-    return x ^ (x >> np.uint64(32))
-
-
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, and for each text the index of its first one (one more at the end).
-
-    A token is a run of ASCII letters, ASCII digits and bytes from 128 on; A-Z count as a-z.
-    """
-    joined = b" ".join(texts) + b" "
-    chars = _CLASS[np.frombuffer(joined, dtype=np.uint8)]
-    inside = np.concatenate(([False], chars > 0))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    powers = np.cumprod(np.full(len(chars) + 1, _P, dtype=np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(chars * powers[:-1])))
-    back = np.cumprod(np.full(len(chars) + 1, _P_INVERSE, dtype=np.uint64))
-    # the sum over a token, shifted back to where it would start at 0
-    hashes = _mix((sums[ends] - sums[starts]) * back[starts])
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    return hashes, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-
-
-def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the mask laid at each token; as many as it fits."""
-    n = len(hashes) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, len(mask), dtype=np.uint64)
-    for i, read in enumerate(mask):
-        if read == "1":
-            total = total * _P + hashes[i : i + n]
-    return _mix(total)
-
-
-def _groups(batches):
-    """(keys, texts as bytes) of about GROUP_BYTES each."""
-    for batch in batches:
-        start, size = 0, 0
-        texts: list[bytes] = []
-        for i, t in enumerate(batch.column(1)):
-            texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            size += len(texts[-1])
-            if size >= GROUP_BYTES or i == batch.num_rows - 1:
-                yield batch.column(0).slice(start, len(texts)), texts
-                start, size, texts = i + 1, 0, []
-
-
-def _signed32(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind) -> pa.Array:
@@ -101,7 +36,7 @@ def item_seeds(items: DataFrame, text: str, key: str) -> DataFrame:
     """(item, tokens, pos, seed): a row for each text, with its token hashes and arrays of its seeds."""
 
     def run(batches):
-        for keys, texts in _groups(batches):
+        for keys, texts in groups(batches):
             hashes, at = token_hashes(texts)
             pos, seed, bounds = [], [], [0]
             for i in range(len(texts)):
@@ -113,7 +48,7 @@ def item_seeds(items: DataFrame, text: str, key: str) -> DataFrame:
                 bounds.append(bounds[-1] + sum(map(len, seed[-len(MASKS) :])))
             seed, pos, bounds = np.concatenate(seed), np.concatenate(pos), np.array(bounds)
             yield pa.RecordBatch.from_arrays(
-                [keys, _lists(_signed32(hashes), at, pa.int32()), _lists(pos, bounds, pa.int32()), _lists(seed.view(np.int64), bounds, pa.int64())],
+                [keys, _lists(signed32(hashes), at, pa.int32()), _lists(pos, bounds, pa.int32()), _lists(seed.view(np.int64), bounds, pa.int64())],
                 ["item", "tokens", "pos", "seed"],
             )
 
@@ -143,7 +78,7 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray, text: str, key: str) -> D
 
     def run(batches):
         bits = np.unpackbits(shared.value).astype(bool)
-        for keys, texts in _groups(batches):
+        for keys, texts in groups(batches):
             hashes, at = token_hashes(texts)
             pos, seed = [], []
             for m in MASKS:
@@ -163,7 +98,7 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray, text: str, key: str) -> D
                 continue
             bounds = np.append(np.searchsorted(owner, found), len(owner))
             own = [hashes[at[i] : at[i + 1]] for i in found]
-            tokens = _lists(_signed32(np.concatenate(own)), np.cumsum([0, *map(len, own)]), pa.int32())
+            tokens = _lists(signed32(np.concatenate(own)), np.cumsum([0, *map(len, own)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(found)), tokens, _lists(pos - at[owner], bounds, pa.int32()), _lists(seed.view(np.int64), bounds, pa.int64())],
                 ["doc", "tokens", "pos", "seed"],

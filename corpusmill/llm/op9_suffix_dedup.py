@@ -167,7 +167,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             first = np.concatenate(([True], ~same[:-1]))
             # of repeats in this task one goes on, with no document: only others need to hear of it
             known = same | np.concatenate(([False], same[:-1]))
-            for columns in _packed(_spread(doc[known], buckets), h[:0].repeat(0) if not known.any() else h[known], doc[known], th[known], item[known]):
+            for columns in _packed(_spread(doc[known], buckets), h[known], doc[known], th[known], item[known]):
                 yield pa.RecordBatch.from_arrays(columns, names)
             item = np.where(known, -1, item)[first]
             h, doc, th = h[first], np.where(known[first], 0, doc[first]), np.where(known[first], 0, th[first])
