@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import base, feature_queries, split_queries, text_queries, weight_queries  # noqa: F401  importing them registers their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLES)
