@@ -3,16 +3,16 @@
 A byte goes if a 100-byte string that covers it also starts earlier.  Sorting all suffixes would
 move a hundred times the text; equal 100-byte windows can be found from few of them:
 
-1. Every window has an anchor: the 50-byte string in it with the smallest hash (leftmost of equal
+1. Every window has an anchor: the 40-byte string in it with the smallest hash (leftmost of equal
    ones).  Equal windows have the same anchor at the same place, and neighbouring windows mostly
-   share one, so there is one anchor in about 26 bytes.  An anchor's item holds the range of
+   share one, so there is one anchor in about 31 bytes.  An anchor's item holds the range of
    windows that chose it.
 2. Anchors' hashes are exchanged, packed; those that occur once in the corpus can't lie in a
    repeated window and end here.  Repeats inside one task are known there, and only one of them
    travels.
 3. For the rest, each task sorts the suffixes that start at its anchors (cut at the end of the
    anchor's last window), drops those whose whole context it has already, front-codes the sorted
-   run, and sends it by the hash of the suffix's first 50 bytes.
+   run, and sends it by the hash of the suffix's first 40 bytes.
 4. The runs of a bucket are merged with a loser tree that never compares a known common prefix
    again, which also yields the common prefix of neighbours.  With it, and the order of the bytes
    before each anchor, windows at offset d before the anchor are equal if the d bytes before it and
@@ -38,12 +38,13 @@ from .common import table
 from .suffixes import byte_order, common_prefixes, front_code, merge_runs
 
 LENGTH = 100
-ANCHOR = 50
+ANCHOR = 40
 SPAN = LENGTH - ANCHOR + 1
 #: windows of a text that are hashed together; longer texts are hashed in overlapping blocks
 BLOCK = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 ITEMS_AT_ONCE = 1 << 19
+MARK = 0xFFFFFFFF
 RUN_ITEMS = 1 << 17
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -87,14 +88,15 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((ones, np.cumprod(np.full(n, _P)))), np.concatenate((ones, np.cumprod(np.full(n, _P_INVERSE))))
 
 
-def _items(batches):
-    """(doc ids, text hashes, packed items, anchor hashes) of about ITEMS_AT_ONCE anchors each.
+def _items(texts):
+    """(number of the text, item, hash of the anchor's bytes) of byte strings, a few texts at once, in order.
 
-    A packed item: anchor's byte in the text << 16 | its distance from the first window << 8 | from the last one.
+    An item: anchor's byte in the text << 16 | its distance from the first window << 8 | from the
+    last one.  A text's items depend on that text only, and are never dealt over two results.
     """
     powers = power_tables(2 * BLOCK + 4 * LENGTH)
     pieces: list[bytes] = []
-    owners: list[tuple[int, int, int]] = []
+    owners: list[tuple[int, int]] = []
     made: list[tuple[np.ndarray, ...]] = []
     size = count = 0
 
@@ -103,29 +105,51 @@ def _items(batches):
         starts = np.cumsum(lengths) - lengths
         piece, at, first, last, h = anchors(np.frombuffer(b"".join(pieces), np.uint8), starts, lengths, powers)
         own = np.array(owners, dtype=np.int64)
-        item = (at - starts[piece] + own[piece, 2]) << 16 | (at - first) << 8 | (at - last)
-        return own[piece, 0], own[piece, 1], item, h
-
-    for batch in batches:
-        for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for begin in range(0, len(data) - LENGTH + 1, BLOCK):
-                pieces.append(data[begin : begin + BLOCK + LENGTH - 1])
-                owners.append((doc, text_hash, begin))
-                size += len(pieces[-1])
-                if size >= BLOCK:
-                    made.append(hashed())
-                    count += len(made[-1][0])
-                    pieces, owners, size = [], [], 0
-                    if count >= ITEMS_AT_ONCE:
-                        yield tuple(map(np.concatenate, zip(*made)))
-                        made, count = [], 0
+        return own[piece, 0], (at - starts[piece] + own[piece, 1]) << 16 | (at - first) << 8 | (at - last), h
+
+    for number, data in enumerate(texts):
+        for begin in range(0, len(data) - LENGTH + 1, BLOCK):
+            pieces.append(data[begin : begin + BLOCK + LENGTH - 1])
+            owners.append((number, begin))
+            size += len(pieces[-1])
+            if size >= BLOCK:
+                made.append(hashed())
+                count += len(made[-1][0])
+                pieces, owners, size = [], [], 0
+        if made and not pieces and count >= ITEMS_AT_ONCE:
+            yield tuple(map(np.concatenate, zip(*made)))
+            made, count = [], 0
     if pieces:
         made.append(hashed())
     if made:
         yield tuple(map(np.concatenate, zip(*made)))
 
 
+def _ordinals(number: np.ndarray) -> np.ndarray:
+    """Place of each item among those of its text."""
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    return np.arange(len(number)) - np.repeat(first, np.diff(np.append(first, len(number))))
+
+
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each number, all first bytes first: high ones hardly vary and compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return out.reshape(-1).view(np.int64)
+
+
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _by_bucket(batches):
     """(bucket, list of rows) for rows that are sorted by their first column."""
     bucket, rows = None, []
@@ -140,54 +164,68 @@ def _by_bucket(batches):
         yield bucket, rows
 
 
-def _packed(bucket: np.ndarray, *arrays: np.ndarray):
-    """Rows (bucket, bytes of each array), one for each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    names, starts = np.unique(bucket[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
-    arrays = [a[order] for a in arrays]
-    for i in range(0, len(names), 64):
-        part = list(zip(starts[i : i + 64], ends[i : i + 64]))
-        yield [pa.array(names[i : i + 64].astype(np.int32)), *[pa.array([a[s:e].tobytes() for s, e in part], pa.binary()) for a in arrays]]
-
-
 def _spread(doc: np.ndarray, buckets: int) -> np.ndarray:
     return -1 - (_mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, th, item): the items whose anchor's hash occurs elsewhere too.  `docs`: (doc, th, text)."""
+    """(doc, ordinal): the items whose anchor's hash occurs elsewhere too.  `docs`: (doc, text).
+
+    48 bits of the hash travel: a stray equal one only makes a candidate that finds no match.
+    """
 
     def pack(batches):
-        names = ["bucket", "h", "doc", "th", "item"]
-        for doc, th, item, h in _items(batches):
+        ids: list[int] = []
+
+        def texts():
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids.append(doc)
+                    yield text.as_py().encode("utf-8", "surrogatepass")
+
+        def rows(bucket, h, doc, ordinal):
+            order = np.argsort(bucket, kind="stable")
+            keys, starts = np.unique(bucket[order], return_index=True)
+            out = [[], [], []]
+            for s, e in zip(starts, np.append(starts[1:], len(order))):
+                own = order[s:e]
+                out[0].append(_planes(h[own].view(np.int64), 6))
+                out[1].append(_squeeze(_planes(np.diff(doc[own], prepend=0), 8)))
+                out[2].append(_squeeze(_planes(ordinal[own], 4)))
+            for i in range(0, len(keys), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 64].astype(np.int32)), *[pa.array(c[i : i + 64], pa.binary()) for c in out]], ["bucket", "h", "doc", "ordinal"])
+
+        for number, _, h in _items(texts()):
+            ordinal, doc = _ordinals(number), np.array(ids, dtype=np.int64)[number]
+            h = h >> np.uint64(16)
             order = np.argsort(h, kind="stable")
-            doc, th, item, h = doc[order], th[order], item[order], h[order]
-            same = np.append(h[1:] == h[:-1], False)
-            first = np.concatenate(([True], ~same[:-1]))
-            # of repeats in this task one goes on, with no document: only others need to hear of it
-            known = same | np.concatenate(([False], same[:-1]))
-            for columns in _packed(_spread(doc[known], buckets), h[known], doc[known], th[known], item[known]):
-                yield pa.RecordBatch.from_arrays(columns, names)
-            item = np.where(known, -1, item)[first]
-            h, doc, th = h[first], np.where(known[first], 0, doc[first]), np.where(known[first], 0, th[first])
-            for columns in _packed((h % np.uint64(buckets)).astype(np.int64), h, doc, th, item):
-                yield pa.RecordBatch.from_arrays(columns, names)
+            same = np.append(h[order][1:] == h[order][:-1], False)
+            first = np.append(True, ~same[:-1])
+            known, once = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            # of repeats in this task one goes on, marked: others need to hear of it, it needs to hear nothing
+            known[order] = same | np.append(False, same[:-1])
+            once[order] = first
+            yield from rows(_spread(doc[known], buckets), h[known], doc[known], ordinal[known])
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            yield from rows(bucket[once], h[once], doc[once], np.where(known, MARK, ordinal)[once])
 
     def find(batches):
         for bucket, rows in _by_bucket(batches):
-            h, doc, th, item = (np.concatenate([np.frombuffer(r[c], np.uint64 if c == 1 else np.int64) for r in rows]) for c in range(1, 5))
+            doc = np.concatenate([np.cumsum(_from_planes(_unsqueeze(r[2]), 8)) for r in rows])
+            ordinal = np.concatenate([_from_planes(_unsqueeze(r[3]), 4) for r in rows])
             if bucket >= 0:
+                h = np.concatenate([_from_planes(r[1], 6) for r in rows])
                 order = np.argsort(h, kind="stable")
                 same = np.append(h[order][1:] == h[order][:-1], False)
-                again = order[same | np.concatenate(([False], same[:-1]))]
-                again = again[item[again] >= 0]
-                doc, th, item = doc[again], th[again], item[again]
+                again = order[same | np.append(False, same[:-1])]
+                again = again[ordinal[again] != MARK]
+                doc, ordinal = doc[again], ordinal[again]
             for i in range(0, len(doc), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (doc, th, item)], ["doc", "th", "item"])
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(ordinal[s].astype(np.int32))], ["doc", "ordinal"])
 
-    packed = docs.mapInArrow(pack, "bucket int, h binary, doc binary, th binary, item binary")
-    return _dealt(packed).mapInArrow(find, "doc long, th long, item long")
+    packed = docs.mapInArrow(pack, "bucket int, h binary, doc binary, ordinal binary")
+    return _dealt(packed).mapInArrow(find, "doc long, ordinal int")
 
 
 def _dealt(packed: DataFrame) -> DataFrame:
@@ -201,14 +239,14 @@ def _mask(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return ((one << (first + 1).astype(np.uint64)) - one) & ~((one << last.astype(np.uint64)) - one)
 
 
-def _contexts(data: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes from each anchor on (100 wide) and before it, backwards (50 wide), padded with zeros beyond its windows."""
-    at, before, last = item >> 16, item >> 8 & 0xFF, item & 0xFF
-    j = np.arange(LENGTH)
-    right = np.where(j < (LENGTH - last)[:, None], data[np.minimum(at[:, None] + j, len(data) - 1)], 0)
-    j = np.arange(SPAN - 1)
-    left = np.where(j < before[:, None], data[np.maximum(at[:, None] - 1 - j, 0)], 0)
-    return right.astype(np.uint8), left.astype(np.uint8)
+def _contexts(data: bytes, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes from each anchor `at` on (100 wide) and before it, backwards (60 wide), zeros beyond its windows."""
+    padded = np.frombuffer(bytes(SPAN) + data + bytes(LENGTH), np.uint8)
+    right = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[at + SPAN]
+    right *= np.arange(LENGTH) < (LENGTH - (item & 0xFF))[:, None]
+    left = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SPAN - 1)[at + 1][:, ::-1])
+    left *= np.arange(SPAN - 1) < (item >> 8 & 0xFF)[:, None]
+    return right, left
 
 
 def _run(doc, th, item, right, left):
@@ -223,7 +261,7 @@ def _run(doc, th, item, right, left):
 def repeated_windows(found: DataFrame, buckets: int) -> DataFrame:
     """(doc, th, at, mask): windows that also start earlier; bit d of mask is the one d bytes before `at`.
 
-    `found`: (doc, th, text, items).
+    `found`: (doc, th, text, ordinals).
     """
 
     def sort(batches):
@@ -235,9 +273,11 @@ def repeated_windows(found: DataFrame, buckets: int) -> DataFrame:
             doc, th, item, right, left = map(np.concatenate, zip(*held))
             keep, gone = _run(doc, th, item, right, left)
             mask = _mask(item[gone] >> 8 & 0xFF, item[gone] & 0xFF)
-            for b, d, t, i, m in _packed(_spread(doc[gone], buckets), doc[gone], th[gone], item[gone], mask):
-                empty = pa.array([b""] * len(b), pa.binary())
-                yield pa.RecordBatch.from_arrays([b, d, t, i, m, empty, empty], names)
+            bucket = _spread(doc[gone], buckets)
+            for b in np.unique(bucket):
+                own = gone[bucket == b]
+                parts = (_planes(doc[own], 8), _planes(th[own], 8), _planes(item[own], 8), mask[bucket == b].tobytes(), b"", b"")
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.array([_squeeze(x)], pa.binary()) for x in parts], names)
             doc, th, item, right, left = doc[keep], th[keep], item[keep], right[keep], left[keep]
             weights = np.cumprod(np.full(ANCHOR, _P))
             bucket = (_mix((right[:, :ANCHOR].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -246,36 +286,53 @@ def repeated_windows(found: DataFrame, buckets: int) -> DataFrame:
                 shared, rest = front_code(right[own], LENGTH - (item[own] & 0xFF))
                 before = left[own][np.arange(SPAN - 1) < (item[own] >> 8 & 0xFF)[:, None]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32())] + [pa.array([x], pa.binary()) for x in (doc[own].tobytes(), th[own].tobytes(), item[own].tobytes(), shared.tobytes(), rest, before)], names
+                    [pa.array([b], pa.int32())] + [pa.array([_squeeze(x)], pa.binary()) for x in (_planes(doc[own], 8), _planes(th[own], 8), _planes(item[own], 8), shared.tobytes(), rest, before)], names
                 )
 
-        for batch in batches:
-            for d, t, text, items in zip(*batch.columns):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                item = np.unique(items.values.to_numpy())
-                for i in range(0, len(item), RUN_ITEMS):
-                    part = item[i : i + RUN_ITEMS]
-                    held.append((np.full(len(part), d.as_py()), np.full(len(part), t.as_py()), part, *_contexts(data, part)))
-                    count += len(part)
-                    if count >= RUN_ITEMS:
-                        yield from flush()
-                        held, count = [], 0
+        waiting: list[tuple] = []
+
+        def texts():
+            for batch in batches:
+                for d, t, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    waiting.append((d, t, data, own.values.to_numpy()))
+                    yield data
+
+        done = 0  # texts that are gone from `waiting`
+        for number, item, _ in _items(texts()):
+            number, ordinal = number - done, _ordinals(number)
+            last = int(number[-1])
+            wanted = np.concatenate([np.int64(i) << 32 | w[3].astype(np.int64) for i, w in enumerate(waiting[: last + 1])])
+            own = np.flatnonzero(np.isin(number << 32 | ordinal, wanted))
+            number, item = number[own], item[own]
+            starts = np.cumsum([0, *(len(w[2]) for w in waiting[: last + 1])])
+            data = b"".join(w[2] for w in waiting[: last + 1])
+            doc, th = (np.array([w[c] for w in waiting[: last + 1]], dtype=np.int64)[number] for c in (0, 1))
+            for i in range(0, len(item), RUN_ITEMS):
+                s = slice(i, i + RUN_ITEMS)
+                held.append((doc[s], th[s], item[s], *_contexts(data, starts[number[s]] + (item[s] >> 16), item[s])))
+                count += len(held[-1][0])
+                if count >= RUN_ITEMS:
+                    yield from flush()
+                    held, count = [], 0
+            del waiting[: last + 1]
+            done += last + 1
         if held:
             yield from flush()
 
     def merge(batches):
         for bucket, rows in _by_bucket(batches):
-            arrays = [[np.frombuffer(r[c], np.int64) for r in rows] for c in (1, 2, 3)]
+            arrays = [[_from_planes(_unsqueeze(r[c]), 8) for r in rows] for c in (1, 2, 3)]
             doc, th, item = map(np.concatenate, arrays)
             if bucket < 0:
-                mask = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
+                mask = np.concatenate([np.frombuffer(_unsqueeze(r[4]), np.uint64) for r in rows])
             else:
-                runs = [(np.frombuffer(r[4], np.uint8), LENGTH - (i & 0xFF), r[5]) for r, i in zip(rows, arrays[2])]
+                runs = [(np.frombuffer(_unsqueeze(r[4]), np.uint8), LENGTH - (i & 0xFF), _unsqueeze(r[5])) for r, i in zip(rows, arrays[2])]
                 run, shared, rank = merge_runs(runs, LENGTH)
                 order = (np.cumsum([0, *map(len, arrays[0])])[run] + rank) if len(run) else np.zeros(0, np.int64)
                 before = item >> 8 & 0xFF
                 left = np.zeros((len(item), SPAN - 1), np.uint8)
-                left[np.arange(SPAN - 1) < before[:, None]] = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+                left[np.arange(SPAN - 1) < before[:, None]] = np.frombuffer(b"".join(_unsqueeze(r[6]) for r in rows), np.uint8)
                 mask = np.zeros(len(item), np.uint64)
                 mask[order] = later_windows(shared, left[order], doc[order], th[order], item[order])
             some = np.flatnonzero(mask)
@@ -343,10 +400,11 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: b
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[key].cast("long").alias("doc"), F.xxhash64(docs[text]).alias("th"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    again = repeated_anchors(rows.where("doc IS NOT NULL").select("doc", "th", "text"), 4 * parts)
-    again = again.groupBy("doc", "th").agg(F.collect_list("item").alias("items"))
-    windows = repeated_windows(rows.join(again, ["doc", "th"]).select("doc", "th", "text", "items"), 4 * parts)
-    windows = windows.groupBy("doc", "th").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
+    # both joins are by document alone, over the same rows: the texts are shuffled once and used twice
+    rows, others = rows.where("doc IS NOT NULL"), rows.where("doc IS NULL")
+    again = repeated_anchors(rows.select("doc", "text"), 4 * parts).groupBy("doc").agg(F.collect_list("ordinal").alias("ordinals"))
+    windows = repeated_windows(rows.join(again, "doc").select("doc", "th", "text", "ordinals"), 4 * parts)
+    windows = windows.groupBy("doc").agg(F.collect_list(F.struct("th", "at", "mask")).alias("w"))
     kind = docs.schema[key].dataType.simpleString()
 
     def finish(batches):
@@ -367,7 +425,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: b
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
-    joined = rows.join(windows, ["doc", "th"], "left").select("doc", "text", "at", "mask")
+    own = F.filter("w", lambda x: x["th"] == F.col("th"))
+    joined = rows.join(windows, "doc", "left").withColumn("w", own).select("doc", "text", F.col("w.at").alias("at"), F.col("w.mask").alias("mask"))
+    joined = joined.unionByName(others.select("doc", "text"), allowMissingColumns=True)
     done = joined.mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     out = done.select(F.col("id").cast(kind).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     return out if with_text else out.drop("kept_text")
