@@ -6,9 +6,13 @@ null, so that averages skip them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import chi2_p
+
 
 def highest(scores: DataFrame, keys: list[str], descending: bool = True) -> DataFrame:
     """The best label of each instance; ties go to the first label.  A struct minimum: it combines before the shuffle."""
@@ -123,8 +127,6 @@ def discordant(correct_a: DataFrame, correct_b: DataFrame, keys: tuple[str, ...]
 
 def mcnemar(counts: DataFrame) -> DataFrame:
     """counts with the continuity-corrected statistic and its p (one degree of freedom); no discordant instance: null."""
-    from ..functions.stemming import chi2_p
-
     d = F.abs(F.col("n01") - F.col("n10")) - 1
     rows = counts.withColumn("statistic", F.when(F.col("n01") + F.col("n10") > 0, (d * d / (F.col("n01") + F.col("n10"))).cast("double")))
     return rows.withColumn("p", chi2_p("statistic"))
@@ -135,9 +137,6 @@ def randomisation(counts: DataFrame, n: int = 10_000, seed: int = 1) -> DataFram
 
     Only the number of discordant instances matters, so a trial is one binomial draw.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p_value(n01: pd.Series, n10: pd.Series) -> pd.Series:
         out = []

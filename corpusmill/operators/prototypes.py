@@ -29,7 +29,7 @@ def cosine(train: DataFrame, test: DataFrame, key: str = "train_id") -> DataFram
     t = train.select(key, "feature", F.col("value").cast("double").alias("x"))
     dots = t.join(test.select("instance_id", "feature", F.col("value").cast("double").alias("y")), "feature").groupBy(key, "instance_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     a, b = norms(train, key).withColumnRenamed("norm", "na"), norms(test, "instance_id").withColumnRenamed("norm", "nb")
-    return dots.join(a, key).join(b, "instance_id").select(key, "instance_id", (1 - F.col("dot") / (F.col("na") * F.col("nb"))).alias("dist"))
+    return dots.join(a, key).join(b, "instance_id").select(key, "instance_id", F.greatest(F.lit(0.0), 1 - F.col("dot") / (F.col("na") * F.col("nb"))).alias("dist"))
 
 
 def skew(train: DataFrame, test: DataFrame, alpha: float = 0.99, key: str = "train_id") -> DataFrame:
@@ -65,14 +65,18 @@ def out_of_place(profiles: DataFrame, test: DataFrame, key: str = "label", most:
 
 def spearman(pairs: DataFrame, key: str = "label") -> DataFrame:
     """(key, instance_id, dist): 1 - rank correlation, tie-corrected, of two value columns x and y over rows (key, instance_id, feature)."""
-    w = ["" + key, "instance_id"]
+    w = [key, "instance_id"]
 
     def average_rank(c: str) -> Column:
         order = Window.partitionBy(*w).orderBy(c)
         return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*w, c)) - 1) / 2
 
     r = pairs.select(*w, average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    return r.groupBy(*w).agg((1 - F.corr("rx", "ry")).alias("dist"))
+    x, y = F.col("rx"), F.col("ry")
+    m = r.groupBy(*w).agg(F.avg(x * y).alias("xy"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"))
+    spread = F.sqrt((F.col("xx") - F.col("x") * F.col("x")) * (F.col("yy") - F.col("y") * F.col("y")))
+    # without spread on one side there is no correlation
+    return m.select(*w, F.when(spread > 1e-9, 1 - (F.col("xy") - F.col("x") * F.col("y")) / spread).alias("dist"))
 
 
 def nearest(distances: DataFrame, key: str = "train_id") -> DataFrame:

@@ -67,7 +67,7 @@ def markov_features(threads: DataFrame, class_map: DataFrame, order: int = 1) ->
     w = Window.partitionBy("thread_id").orderBy("pos")
     rows = threads.join(class_map, "instance_id")
     before = F.array(*[F.concat(F.lit(f"prev{k}:"), F.coalesce(F.lag("label", k).over(w), F.lit("START"))) for k in range(1, order + 1)])
-    return rows.select("instance_id", F.explode(before).alias("feature")).select("instance_id", "feature", F.lit(1).cast("long").alias("value"))
+    return rows.select("instance_id", before.alias("before")).select("instance_id", F.explode("before").alias("feature")).select("instance_id", "feature", F.lit(1).cast("long").alias("value"))
 
 
 def markov_decode(scores: DataFrame, transitions: dict[tuple[str, str], float], labels: list[str]) -> DataFrame:
