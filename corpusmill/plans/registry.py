@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, classifier_queries, feature_queries, result_queries, split_queries, text_queries, weight_queries  # noqa: F401  importing them registers their queries
+from . import base, classifier_queries, feature_queries, file_queries, result_queries, split_queries, text_queries, weight_queries  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict:
