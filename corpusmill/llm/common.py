@@ -42,14 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a narrow table as Parquet in the shared folder and read it back.
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Materialise a table as Parquet in the shared folder and read it back.
 
     Lost executors cost nothing: the files outlive them, and later plans start from the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
