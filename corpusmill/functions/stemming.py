@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 VOWELS = "aeiou"
 
@@ -86,7 +87,7 @@ def porter_stem(word: str) -> str:
 def stem_vocabulary(words: DataFrame, column: str = "token") -> DataFrame:
     """(token, stem) of the distinct tokens: Python sees each word once, not once an occurrence."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def stem(tokens: pd.Series) -> pd.Series:
         return tokens.map(porter_stem)
 
@@ -106,7 +107,7 @@ def stem_spans(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Numeric and named entities become characters; unknown ones stay."""
     return texts.map(lambda t: t if t is None else re.sub(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]), t))
@@ -115,20 +116,20 @@ def decode_entities(texts: pd.Series) -> pd.Series:
 def decode_bytes(frame: DataFrame, data: str, encoding: str, out: str = "text", errors: str = "strict") -> DataFrame:
     """`frame` with its byte column decoded by each row's encoding; `errors`: strict (the job fails) or replace (U+FFFD)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decode(values: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else bytes(v).decode(n or "utf-8", errors) for v, n in zip(values, names)], dtype=object)
 
     return frame.withColumn(out, decode(F.col(data), F.col(encoding)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     """Upper tail of chi-squared with one degree of freedom."""
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided tail of the normal distribution."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))

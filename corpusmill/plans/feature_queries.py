@@ -10,7 +10,7 @@ from ..operators import features as fm
 from .base import FB, FW, LANG, ML, W, q
 from .text_queries import grams_sql
 
-COLUMN = F.col("text")
+COLUMN = "text"
 
 
 def counts_sql(tokens: str, ctes: str = W, source: str = "w") -> str:

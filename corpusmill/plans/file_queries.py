@@ -19,13 +19,18 @@ from ..sources import writers as wr
 from ..streaming import online
 from .base import FB, FW, LANG, ML, q
 
-ONE_LINE = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\t;]", " ")
+
+
+def one_line():
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\t;]", " ")
+
+
 FLAT = r"regexp_replace(coalesce(text, ''), '[\n\t;]', ' ', 'g')"
 
 
 def by_class(t, fmt="text", *columns):
     path = t.scratch()
-    t.documents.select(*(columns or ("lang",)), ONE_LINE.alias("value")).write.partitionBy(*(columns or ("lang",))).text(path)
+    t.documents.select(*(columns or ("lang",)), one_line().alias("value")).write.partitionBy(*(columns or ("lang",))).text(path)
     return path
 
 
@@ -43,7 +48,7 @@ def decoded(files):
 @q("src_single_dir", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen({FLAT})) AS BIGINT) AS n_bytes FROM documents WHERE {FLAT} <> ''")
 def _(t):
     path = t.scratch()
-    t.documents.select(ONE_LINE.alias("value")).write.text(path)
+    t.documents.select(one_line().alias("value")).write.text(path)
     return decoded(rd.read_dir(t.spark, path)[0]).where("text <> ''").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
 
 
@@ -56,7 +61,7 @@ def _(t):
 @q("src_file_per_class", LINES)
 def _(t):
     path = t.scratch()
-    t.documents.select("lang", ONE_LINE.alias("value")).write.partitionBy("lang").option("compression", "gzip").text(path)
+    t.documents.select("lang", one_line().alias("value")).write.partitionBy("lang").option("compression", "gzip").text(path)
     return counted(rd.read_lines_by_class(t.spark, path).withColumn("label", F.replace("label", F.lit("lang="), F.lit(""))))
 
 
@@ -115,7 +120,7 @@ def _(t):
 @q("src_delimited_text", f"SELECT doc_id::VARCHAR AS instance_id, lang AS label, md5({FLAT} || ';x') AS digest FROM documents")
 def _(t):
     path = t.scratch()
-    t.documents.select(F.concat_ws(";", F.col("doc_id").cast("string"), "lang", F.concat(ONE_LINE, F.lit(";x")))).write.text(path)
+    t.documents.select(F.concat_ws(";", F.col("doc_id").cast("string"), "lang", F.concat(one_line(), F.lit(";x")))).write.text(path)
     rows = rd.read_delimited(t.spark.read.text(path), ";", ["instance_id", "label", "text"])
     return rows.select("instance_id", "label", F.md5("text").alias("digest"))
 

@@ -8,7 +8,7 @@ from ..functions import stemming as st
 from ..functions import text as tx
 from .base import BOW, P, W, q, split_sql
 
-COLUMN = F.col("text")
+COLUMN = "text"
 
 
 def digest(t, tokens):
