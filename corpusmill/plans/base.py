@@ -61,6 +61,12 @@ class Tables:
             base = self.spark.sparkContext.getCheckpointDir()
         return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
+    def stored(self, table: DataFrame) -> DataFrame:
+        """A feature table that several steps read: written once to the shared folder, and read from there."""
+        path = self.scratch()
+        table.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def checkpointing(self) -> None:
         if not (self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()):
             self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

@@ -18,7 +18,7 @@ R = lambda c, n=6: F.round(c, n).alias(c)
 
 def parts(t, features=None):
     """(train features, train classes, test features) of the stratified split."""
-    w, split = features if features is not None else t.words(), t.train_test()
+    w, split = t.stored(features if features is not None else t.words()), t.train_test()
     train, test = (split.where(F.col("role") == r).select("instance_id") for r in ("train", "test"))
     return w.join(train, "instance_id", "left_semi"), t.langs().join(train, "instance_id", "left_semi"), w.join(test, "instance_id", "left_semi")
 
@@ -139,7 +139,7 @@ def nb_sql(cell: str = "value") -> str:
 
 
 def naive_bayes(t, boolean=False):
-    return cf.naive_bayes_cv(t.bigrams(), t.langs(), t.folds(), boolean)
+    return cf.naive_bayes_cv(t.stored(t.bigrams()), t.langs(), t.folds(), boolean)
 
 
 @q("clf_nb_multinomial", f"WITH {nb_sql()} SELECT CAST(fold AS INTEGER) AS fold, instance_id, label, round(score, 4) AS score FROM nb")
@@ -172,7 +172,7 @@ SELECT 'micro' AS average, round((SELECT sum(tp) / (sum(tp) + sum(fp)) FROM cell
 UNION ALL SELECT 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(fscore), 6) FROM c""".replace("cells AS (SELECT test_fold", "cells0 AS (SELECT test_fold").replace("FROM cells, ks", "FROM cells0, ks").replace("count(DISTINCT feature) AS v FROM cells)", "count(DISTINCT feature) AS v FROM cells0)"))
 def _(t):
     folds, langs = t.folds(), t.langs()
-    found = ev.highest(cf.naive_bayes_cv(t.bigrams(), langs, folds), ["fold", "instance_id"])
+    found = ev.highest(cf.naive_bayes_cv(t.stored(t.bigrams()), langs, folds), ["fold", "instance_id"])
     gold = langs.join(folds, "instance_id").select(F.col("test_fold").alias("fold"), "instance_id", "label")
     cells = ev.confusion(gold, found, gold.select("fold", "instance_id"), langs.select("label").distinct())
     names = ["precision", "recall", "fscore"]

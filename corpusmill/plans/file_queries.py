@@ -297,7 +297,7 @@ def _(t):
 
 def model_of(t):
     split = t.train_test().where("role = 'train'")
-    b = t.bigrams().join(split, "instance_id", "left_semi")
+    b = t.stored(t.bigrams()).join(split, "instance_id", "left_semi")
     return cf.nb_model(b, t.langs().join(split, "instance_id", "left_semi"))
 
 
@@ -322,7 +322,7 @@ def _(t):
 def _(t):
     """Ten folds in one job: correct predictions by fold."""
     folds = t.folds()
-    best = ev.highest(cf.naive_bayes_cv(t.words(), t.langs(), folds), ["fold", "instance_id"])
+    best = ev.highest(cf.naive_bayes_cv(t.stored(t.words()), t.langs(), folds), ["fold", "instance_id"])
     return best.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("fold").agg(F.count(F.when(F.col("gold") == F.col("label"), 1)).alias("right"), F.count("*").alias("n"))
 
 
@@ -330,7 +330,7 @@ def _(t):
 def _(t):
     """Feature space x learner into one table of accuracies; a small list of experiments is looped over on the driver."""
     folds, langs, out = t.folds(5), t.langs(), None
-    for space, features in (("word", t.words()), ("byte2", t.bigrams())):
+    for space, features in (("word", t.stored(t.words())), ("byte2", t.stored(t.bigrams()))):
         for boolean in (False, True):
             best = ev.highest(cf.naive_bayes_cv(features, langs, folds, boolean), ["fold", "instance_id"])
             row = best.join(langs.withColumnRenamed("label", "gold"), "instance_id").agg(F.avg((F.col("gold") == F.col("label")).cast("double")).alias("accuracy"))

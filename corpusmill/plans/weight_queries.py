@@ -19,7 +19,7 @@ TRAIN = f"{FB}, {TT}, tr AS (SELECT b.* FROM b JOIN tt USING (instance_id) WHERE
 
 
 def train(t):
-    b = wt.of_role(t.bigrams(), t.train_test(), "train").drop("fold")
+    b = t.stored(wt.of_role(t.bigrams(), t.train_test(), "train").drop("fold"))
     inst = t.train_test().where("role = 'train'").select("instance_id")
     return b, t.langs().join(inst, "instance_id", "left_semi"), inst
 
@@ -100,23 +100,23 @@ def rank_min(value: str, source: str) -> str:
 def _(t):
     """Rows only: ranks depend on the ninth digit of differences of logarithms (see tests for a brute-force check)."""
     d = t.documents.select(F.col("doc_id").alias("instance_id"), domain().alias("label"))
-    return wt.lang_domain(t.bigrams(), t.langs(), d, t.folds(4))
+    return wt.lang_domain(t.stored(t.bigrams()), t.langs(), d, t.folds(4))
 
 
 @q("w_local_ig")
 def _(t):
-    return wt.lang_domain(t.bigrams(), t.langs(), None, t.folds(4), with_domain=False)
+    return wt.lang_domain(t.stored(t.bigrams()), t.langs(), None, t.folds(4), with_domain=False)
 
 
 @q("w_domain_gain", f"WITH {LD_BASE}, {DCTES}, {DOMAIN_GAIN} SELECT CAST(fold AS INTEGER) AS fold, feature, round(g, 6) AS weight FROM dg")
 def _(t):
     d = t.documents.select(F.col("doc_id").alias("instance_id"), domain().alias("label"))
-    return weighted(wt.presence_gain(t.bigrams(), d, t.folds(4)))
+    return weighted(wt.presence_gain(t.stored(t.bigrams()), d, t.folds(4)))
 
 
 @q("w_class_gain", f"WITH {LD_BASE}, {LCTES}, {CLASS_GAIN} SELECT CAST(fold AS INTEGER) AS fold, label, feature, round(g, 6) AS weight FROM cg")
 def _(t):
-    return weighted(wt.presence_gain(t.bigrams(), t.langs(), t.folds(4), one_vs_rest=True))
+    return weighted(wt.presence_gain(t.stored(t.bigrams()), t.langs(), t.folds(4), one_vs_rest=True))
 
 
 TFW = f"WITH {FW}, wt AS (SELECT feature, CAST(sum(value) AS DOUBLE) AS weight FROM f GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY weight DESC, feature) AS rn FROM wt)"
