@@ -1,10 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, everything but letters and
-digits is one space), and a known licence sentence becomes an identifier.  The sequence of
-identifiers is then matched against licence rules: ordered sequences of identifiers.  Longer rules
-come first and use up the identifiers that they match, so a full grant isn't also reported as its
-parts.
+A text is normalised (lower case, everything but letters and digits is one space) with marks where
+a sentence may begin or end: at stops and line ends.  A known licence sentence becomes an identifier
+where it lies between two marks; inside it marks don't count, since texts are wrapped and sentences
+have colons and semicolons, but no sentence goes past a blank line.  The sequence of identifiers is
+then matched against licence rules: ordered sequences of identifiers.  Longer rules come first and
+use up the identifiers that they match, so a full grant isn't also reported as its parts.
 
 Sentences and rules are two small fixed tables, inlined in the expression: one pass over the text,
 no shuffle, no join, nothing kept between rows.
@@ -68,17 +69,24 @@ RULES = (
 SENTENCE_END = r"[.!?:;]+(?:[\x20\x09-\x0D]+|$)|\n+"
 
 
+#: line ends with nothing but blanks and signs (of a comment, say) in between
+BLANK_LINES = r"\n[^a-z0-9]*\n"
+
+
 def identifiers(text, sentences=None):
-    """Array of the identifiers of the known sentences of a text, in order."""
+    """Array of the identifiers of the known sentences of a text, in order.
+
+    Where several sentences begin at one place the longest counts, and sentences don't overlap.
+    """
     known = {v: k for k, v in (sentences or SENTENCES).items()}
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    shortest, longest = min(map(len, known)), max(map(len, known))
-    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END)
-    # normalising never lengthens a piece, but may shorten it by as many symbols as it has
-    pieces = F.filter(pieces, lambda s: F.length(s) >= shortest)
-    clean = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    clean = F.filter(clean, lambda s: F.length(s).between(shortest, longest))
-    return F.filter(F.transform(clean, lambda s: F.element_at(ids, s)), lambda i: i.isNotNull())
+    # capitals can't be in the text: S may end a sentence, P does
+    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANK_LINES, " P ")
+    marked = F.regexp_replace(F.regexp_replace(marked, SENTENCE_END, " S "), "[^a-z0-9SP]+", " ")
+    marked = F.concat(F.lit("S "), F.trim(marked), F.lit(" S"))
+    forms = "|".join(v.replace(" ", " (?:S )*+") for v in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[SP] )(?:{forms})(?= [SP])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(ids, F.regexp_replace(s, "(?: S)+ ", " ")))
 
 
 def licences(ids, rules=RULES):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -178,6 +179,45 @@ def test_licences(spark):
     assert op4_licenses.scan(empty(spark)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Copyright (c) 2001, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n * "])
+@pytest.mark.parametrize("width", [40, 78, 10_000])
+def test_licences_in_wrapped_texts(spark, width, end):
+    wrapped = [end.join(line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""]) for text in (MIT, BSD, GPL, GPL2)]
+    rows = op4_licenses.scan(spark.createDataFrame(list(enumerate(wrapped)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.licence_sentences for r in rows] == [
+        ["mit_grant", "mit_notice", "as_is"], ["reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"],
+        ["gpl_free_software", "gpl_warranty"], ["gpl2_free_software", "gpl_warranty"],
+    ]
+    assert [r.licences for r in rows] == [["MIT"], ["BSD-3-Clause", "LicenseRef-Reserved"], ["GPL-3.0-or-later"], ["GPL-2.0-or-later"]]
+
+
+def test_licence_sentences_end_at_blank_lines(spark):
+    texts = ["released under\n\nthe MIT license", "released under\nthe MIT license", "we released under\nthe MIT license", "All rights reserved\nand more", "x\n\n\nall\nrights\nreserved\nall rights reserved"]
+    rows = op4_licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.licence_sentences for r in rows] == [[], ["mit_release"], [], ["reserved"], ["reserved", "reserved"]]
+
+
 def test_passages(spark):
     rng = random.Random(5)
     words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
