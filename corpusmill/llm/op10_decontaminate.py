@@ -4,8 +4,8 @@ Tokens are hashed.  A seed is a fixed mask over consecutive tokens that reads so
 ignores the others, so a substituted word under an ignored position doesn't hide a match.  The
 benchmark's seed hashes fill a bitmap of fixed size, which every task gets; a document's seeds that
 pass the bitmap are joined with the benchmark's by an ordinary equi-join.  Each hit names a
-diagonal (document position less item position), along which the best overlap is scored: a match
-adds 1, a substitution costs 2.
+diagonal (document position less item position), along which the best overlap is found among all
+stretches that are identical enough.
 
 The documents are read once and only those with a hit are kept, as token hashes; the benchmark may
 be of any size, since the bitmap is a filter and the join decides.
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .tokens import groups, seeds, signed32, token_hashes
 
-#: fixed masks: 1 reads a token, 0 ignores it
-MASKS = ("1101100111", "1110010111", "1011011011", "110100110111")
+#: fixed masks: 1 reads a token, 0 ignores it.  Every overlap of 10 matches and 80 % has a hit of one of these
+MASKS = ("111101", "11001101")
 MIN_MATCHES = 10
 MIN_IDENTITY = 0.8
+#: MIN_IDENTITY as a fraction, so that stretches are compared in integers
+NUMERATOR, DENOMINATOR = 4, 5
 BITMAP_BITS = 24
 
 
@@ -110,16 +112,28 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray, text: str, key: str) -> D
 
 
 def best_overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
-    """(start in a, start in b, length, matches) of the best-scored stretch of a[i + diagonal] against b[i]."""
+    """(start in a, start in b, length, matches) of the stretch of a[i + diagonal] against b[i] with most matches among those identical enough.
+
+    Ties go to the shortest, then the earliest stretch.  All zeros if nothing matches.
+    """
     first, last = max(0, -diagonal), min(len(b), len(a) - diagonal)
     if first >= last:
         return 0, 0, 0, 0
     equal = a[first + diagonal : last + diagonal] == b[first:last]
-    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -2))))
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    start = int(total[: end + 1].argmin())
-    return first + diagonal + start, first + start, end - start, int(equal[start:end].sum())
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0, 0, 0
+    # the best stretch starts and ends with a match.  From match i to match j there are j - i + 1 of
+    # at[j] - at[i] + 1 words: enough if up[j] >= down[i], so the first such i is the best for j
+    k = np.arange(len(at))
+    scaled = DENOMINATOR * k - NUMERATOR * at
+    up, down = scaled + DENOMINATOR - NUMERATOR, scaled
+    start = np.searchsorted(-np.minimum.accumulate(down), -up)
+    matches = k - start + 1
+    length = at - at[start] + 1
+    end = int(np.lexsort((length, -matches))[0])
+    i = int(at[start[end]])
+    return first + diagonal + i, first + i, int(length[end]), int(matches[end])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -146,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
             for i in range(batch.num_rows):
                 found.append(best_overlap(a[i].values.to_numpy(), b[i].values.to_numpy(), diagonal[i].as_py()))
             rows = np.array(found, dtype=np.int64).reshape(-1, 4)
-            good = np.flatnonzero((rows[:, 3] >= MIN_MATCHES) & (rows[:, 3] >= MIN_IDENTITY * rows[:, 2]))
+            good = np.flatnonzero((rows[:, 3] >= MIN_MATCHES) & (DENOMINATOR * rows[:, 3] >= NUMERATOR * rows[:, 2]))
             take = pa.array(good)
             yield pa.RecordBatch.from_arrays([doc.take(take), item.take(take), *[pa.array(rows[good, k]) for k in range(4)]], ["doc", "item", "p", "q", "n", "m"])
 

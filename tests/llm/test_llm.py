@@ -410,6 +410,61 @@ def test_decontamination(spark):
     assert op10_decontaminate.contaminated(awkward(spark), items).count() == 0
 
 
+def brute_overlap(a, b):
+    """(matches, -length, -start in a, -start in b) of the best overlap over all diagonals and stretches, or None."""
+    best = None
+    for d in range(1 - len(b), len(a)):
+        pairs = [(i + d, i) for i in range(len(b)) if 0 <= i + d < len(a)]
+        hits = [k for k, (i, j) in enumerate(pairs) if a[i] == b[j]]
+        for x in range(len(hits)):
+            for y in range(x + 9, len(hits)):
+                n, m = hits[y] - hits[x] + 1, y - x + 1
+                if 5 * m >= 4 * n:
+                    best = max(best or (0,), (m, -n, *[-v for v in pairs[hits[x]]]))
+    return best
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs, want = [], [], {}
+    for k in range(240):
+        n = (12, 15, 20, 40, 80)[k % 5]
+        item, swapped = words(n), rng.random() * 0.25
+        copy = [f"x{rng.randrange(10**6)}" if rng.random() < swapped else w for w in item]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(words(15) + copy + words(15))))
+        best = brute_overlap(docs[-1][1].split(), item)
+        if best:
+            want[k] = best
+    # exact words before a long stretch that isn't identical enough
+    item = words(120)
+    copy = [w if i < 20 or i % 4 else "other" for i, w in enumerate(item)]
+    items.append((900, " ".join(item)))
+    docs.append((900, " ".join(copy)))
+    want[900] = brute_overlap(copy, item)
+    assert want[900][0] >= 20 and 100 < len(want) < 241
+    found = op10_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_matches, -r.n_words, -r.doc_start, -r.item_start) for r in found if r.doc_id == r.item_id} == want
+
+
+def test_masks_hit_every_overlap():
+    masks, span = [int(m, 2) for m in op10_decontaminate.MASKS], max(map(len, op10_decontaminate.MASKS))
+    # strings of matches (1) and mismatches (0) that no mask hits: the best score, 1 for a match and -4 for a
+    # mismatch, by the last bits and the number of matches; one that falls under -60 has no part in an overlap
+    best = {(0, 0): 0}
+    while best:
+        longer = {}
+        for (bits, m), score in best.items():
+            for bit in (0, 1):
+                now, state = (bits << 1 | bit) & ((1 << span) - 1), score + (1 if bit else -4)
+                if state >= -60 and not any(now & mask == mask for mask in masks):
+                    name = (now & ((1 << span - 1) - 1), min(10, m + bit))
+                    longer[name] = max(longer.get(name, state), state)
+        assert not any(m == 10 and score >= 0 for (_, m), score in longer.items())
+        best = longer
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
 
