@@ -21,18 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id.
+    """One row of each near-duplicate group: the one with the smallest doc_id, then fingerprint, then text.
 
-    Rows with a null doc_id belong to no group and stay.  Of rows that share a doc_id one stays: the
-    one with the smallest text.
+    Rows with a null doc_id belong to no group and stay.  Groups are of rows: unlike rows that share
+    a doc_id are in different groups, and each group keeps its own row.
     """
-    found = cut(op6_simhash.near_duplicates(docs))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    apart = cut(gone.union(repeated))
-    one = docs.join(cut(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    one = one.select(*[F.col(c) if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
-    return docs.join(apart, "doc_id", "left_anti").select(*docs.columns).union(one)
+    fps = cut(op6_simhash.fingerprints(docs, "text", "doc_id").where("id IS NOT NULL"))
+    first = cut(op6_simhash.firsts(fps))
+    # a doc_id of one row names that row; only for the others are fingerprints needed with the rows
+    shared = cut(fps.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
+    gone = fps.join(first, ["id", "fp"], "left_anti").select(F.col("id").alias("doc_id"))
+    alone = docs.join(cut(gone.union(shared).distinct()), "doc_id", "left_anti").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = op6_simhash.with_fingerprint(docs.join(shared, "doc_id", "left_semi").select("doc_id", "text", *rest))
+    kept = marked.join(first, (marked.doc_id == first.id) & (marked._fp == first.fp), "left_semi")
+    kept = kept.groupBy("doc_id", "_fp").agg(F.min(F.struct("text", *rest)).alias("r"))
+    return alone.union(kept.select(*[F.col(c) if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import golay
 from .common import components, cut, table
@@ -68,6 +69,18 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with the fingerprint of each row's text, a signed long, as last column _fp."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def golay_keys(fps: np.ndarray, made) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of unsigned fingerprints.  `made`: golay.tables()."""
     a, b, c = (fps & 0x7FFFFF).astype(np.int64), (fps >> 23 & 0x7FFFFF).astype(np.int64), (fps >> 46).astype(np.int64)
@@ -125,6 +138,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
 
 
+def firsts(fps: DataFrame) -> DataFrame:
+    """(id, fp) of the first row, by id and then fp, of each near-duplicate group of rows (id, fp).
+
+    Groups are of fingerprints, so rows that share an id without being alike are in different groups.
+    """
+    classes = cut(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")))
+    moved = components(class_links(classes.select(F.col("fp").alias("rep"), "fp")))
+    groups = classes.join(moved, classes.fp == moved.node, "left").select("id", "fp", F.coalesce("component", "fp").alias("group"))
+    return groups.groupBy("group").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", "first.fp")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

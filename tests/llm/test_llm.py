@@ -486,3 +486,15 @@ def test_pipeline_stage_by_stage(spark):
         assert f(spark, docs.limit(0), SMALL).count() == 0
     rows = cp.near_dedup(spark, awkward(spark), SMALL).collect()
     assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 4, 6, 8]
+
+
+def test_near_dedup_of_rows_that_share_a_doc_id(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    t, u, v, w = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, t), (5, t), (5, u), (7, v), (7, w), (7, w), (8, w), (9, t), (9, v), (None, t)]
+    kept = cp.near_dedup(spark, spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], kind), SMALL)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, t), (3, t), (5, u), (7, v), (7, w)])
