@@ -97,43 +97,120 @@ def normal(line):
     return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
 
 
-def test_lines_against_brute_force(spark):
-    base = "the quick brown fox jumps over the lazy dog while forty seven other animals look on from the shade of an old oak tree near the river bank".split()
-    rng, texts = random.Random(3), []
-    for i in range(60):
-        words = list(base)
-        for _ in range(rng.randrange(3)):
-            words[rng.randrange(len(words))] = rng.choice(["cat", "mouse", "river"])
-        texts.append((i, "\n".join([" ".join(words), "Short.", "unique line number %d of them" % i, "", "SHORT!"])))
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {(r.doc_id, r.line_no): (r.first_id, r.first_line, r.kept) for r in op2_lines.dedup_lines(df).collect()}
+def line_blocks(norm):
+    """[(SimHash, number of words)] of the 5 blocks: a block is named by where the signed hash lies in the range of longs."""
+    own = [[] for _ in range(op2_lines.BLOCKS)]
+    for w in norm.split(" "):
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        own[((h + (1 << 63)) % (1 << 64)) * op2_lines.BLOCKS >> 64].append(h)
+    at = [op2_lines.LANE_BITS * i + j for i in range(op2_lines.LANES) for j in range(op2_lines.ROUNDS)]
+    return [(tuple(2 * sum(h >> j & 1 for h in x) > len(x) for j in at), len(x)) for x in own]
+
+
+def lines_meet(x, y):
+    same = [n for (b, n), other in zip(x, y) if (b, n) == other]
+    same.sort(reverse=True)
+    return len(same) >= 2 and sum(same[:2]) >= 8 or len(same) >= 3 and sum(same[:3]) >= 3
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def alike(a, b):
+    return edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+
+
+def brute_lines(texts):
+    """{(doc, line): (first doc, first line, kept)} and the number of links."""
     places = {}
     for d, t in texts:
         for i, line in enumerate(t.split("\n")):
             if normal(line):
                 places.setdefault(normal(line), []).append((d, i))
+    names = list(places)
+    blocks = {n: line_blocks(n) for n in names}
+    links = [(min(places[a]), min(places[b])) for i, a in enumerate(names) for b in names[:i] if lines_meet(blocks[a], blocks[b]) and alike(a, b)]
+    group = brute_components({min(p) for p in places.values()}, links)
+    return {p: (*group[min(ps)], group[min(ps)] == p) for ps in places.values() for p in ps}, len(links)
 
-    def fp(n):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]
-        return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+def found_lines(spark, texts):
+    rows = op2_lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    return {(r.doc_id, r.line_no): (r.first_id, r.first_line, r.kept) for r in rows}
 
-    names = list(places)
-    fps = {n: fp(n) for n in names}
-    links = [(min(places[a]), min(places[b])) for i, a in enumerate(names) for b in names[:i] if (fps[a] ^ fps[b]).bit_count() <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
-    group = brute_components({min(p) for p in places.values()}, links)
-    want = {p: (*group[min(ps)], group[min(ps)] == p) for ps in places.values() for p in ps}
-    assert links and got == want
-    kept = {r.doc_id: r.text for r in op2_lines.without_repeats(df).collect()}
-    assert kept[5].split("\n")[-2:] == ["unique line number 5 of them", ""]
+
+BASES = [s.split() for s in (
+    "the quick brown fox jumps over the lazy dog while forty seven other animals look on from the shade of an old oak tree near the river bank",
+    "user 17 logged in at noon from the north gate",
+    "in the year of the cat we went to the sea and to the hills and to the old town by the lake where the fair was held for three days and nights",
+)]
+
+
+def test_lines_against_brute_force(spark):
+    rng, texts = random.Random(3), []
+    for i in range(90):
+        words = list(BASES[i % 3])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.sample(["cat", "mouse", "river", "12", "of", words[at] + "s"], rng.randrange(3))
+        texts.append((i, "\n".join([" ".join(words).capitalize() + ".", "Short.", "unique line number %d of them" % i, "", "SHORT!"])))
+    want, links = brute_lines(texts)
+    assert links > 100 and found_lines(spark, texts) == want
+    kept = {r.doc_id: r.text for r in op2_lines.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept[5].split("\n")[-1] == "" and "unique line number 0 of them" in kept[0]
+
+
+def test_lines_of_many_words(spark):
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(1100)], []
+    for i, n in enumerate((130, 260, 700, op2_lines.NARROW_WORDS, op2_lines.NARROW_WORDS + 1, 1100)):
+        for k in range(3):
+            words = base[:n]
+            for _ in range(k):
+                words[rng.randrange(n)] = f"new{rng.randrange(100)}"
+            texts.append((10 * i + k, " ".join(words)))
+    want, links = brute_lines(texts)
+    assert links >= 6 and found_lines(spark, texts) == want
+
+
+def test_lines_of_large_groups_that_meet(spark):
+    """Groups of near copies whose lines share blocks, some of them alike and some not."""
+    rng, texts = random.Random(9), []
+    common = [f"c{i}" for i in range(14)]
+    tails = [[f"{name}{'x' * 6}{i}" for i in range(6)] for name in "abc"] + [[f"d{i}" for i in range(2)]]
+    for i in range(160):
+        words = common + tails[i % 4]
+        words[rng.randrange(14, len(words))] = f"n{rng.randrange(60)}"
+        texts.append((i, " ".join(words)))
+    want, links = brute_lines(texts)
+    assert links > 1000 and len({w[0] for w in want.values()}) > 1 and found_lines(spark, texts) == want
+
+
+def test_lines_recall(spark):
+    """Of lines with edits, how many are joined with their original: no loss for one word, and stated shares for more."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    texts, want = [], {}
+    for i in range(900):
+        n, k = (10, 20, 40)[i % 3], i // 3 % 3 + 1
+        line = [word() for _ in range(n)]
+        edited = list(line)
+        for at in rng.sample(range(n), k):
+            edited[at] = word()
+        if alike(" ".join(line), " ".join(edited)):
+            texts += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(edited))]
+            want.setdefault((n, k), []).append(i)
+    got = found_lines(spark, texts)
+    recall = {key: sum(not got[2 * i + 1, 0][2] for i in own) / len(own) for key, own in want.items()}
+    assert all(recall[n, 1] == 1 for n in (10, 20, 40)) and recall[40, 2] > 0.7 and recall[40, 3] > 0.3, recall
+    print(recall)
 
 
 def test_lines_awkward(spark):
