@@ -15,16 +15,29 @@ from corpusmill.llm import op1_sharding, op3_mixing, op6_simhash, op8_quality, o
 from corpusmill.llm.common import cut, shared_dir, table
 
 
+def packed(docs: DataFrame, *needed) -> DataFrame:
+    """The columns that an operator reads, and whole rows as one struct that no column of an operator can clash with."""
+    return docs.select(*needed, F.struct("*").alias("_row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return op8_quality.assess(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep.
+
+    Null and empty texts go, since they have fewer than 20 words; very long ones are judged whole.
+    Rows are judged each for itself, repeated ones and those with nulls elsewhere too.  All columns
+    pass through, also those with a measure's name; an empty table stays empty.
+    """
+    return op8_quality.assess(packed(docs, "text")).where("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest doc_id, then fingerprint, then text.
 
     Rows with a null doc_id belong to no group and stay.  Groups are of rows: unlike rows that share
-    a doc_id are in different groups, and each group keeps its own row.
+    a doc_id are in different groups, and each group keeps its own row.  Null and empty texts are
+    alike and leave one row; very long ones are compared whole.  All columns pass through; of rows
+    that tie in doc_id, fingerprint and text the smallest by the other columns stays.  An empty table
+    stays empty.
     """
     fps = cut(op6_simhash.fingerprints(docs, "text", "doc_id").where("id IS NOT NULL"))
     first = cut(op6_simhash.firsts(fps))
@@ -40,19 +53,37 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    leaks = cut(op10_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that overlap with no benchmark item.
+
+    Texts are searched and rows dropped by the text's MD5, so rows with a null doc_id are searched
+    like any other, and rows that share a doc_id are judged each for itself; equal texts go together.
+    Null and empty texts stay; very long ones are searched whole.  All columns pass through; an
+    empty table of either kind drops nothing.
+    """
+    texts = docs.select(F.md5("text").alias("_text_id"), "text")
+    leaks = cut(op10_decontaminate.contaminated(texts, table(spark, sf_dir, "benchmark"), key="_text_id").select("_text_id").distinct())
+    return docs.join(leaks, F.md5(docs["text"]) == leaks["_text_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a row for each copy that it takes, in training order."""
-    mixed = op3_mixing.mix(docs, op3_mixing.weights(), op3_mixing.slopes())
-    return op3_mixing.in_training_order(mixed, docs.columns)
+    """The mix to target weights: a row for each copy that it takes, in training order.
+
+    Null and empty texts have no words and are never taken; very long ones count whole.  A null
+    source is a source of its own; rows with a null doc_id stand where the empty string's hash does.
+    Repeated rows are mixed each for itself.  All columns pass through, also those with a result's
+    name; an empty table stays empty.
+    """
+    rows = packed(docs, "doc_id", "source", op3_mixing.n_words(F.col("text")).alias("size"))
+    mixed = op3_mixing.mix(rows, op3_mixing.weights(), op3_mixing.slopes(), size=F.col("size"))
+    return op3_mixing.in_training_order(mixed, ["doc_id", "_row"]).select("_row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard that each belongs to."""
+    """Documents with the shard that each belongs to.
+
+    Rows that share a doc_id share a shard, and null ones are a doc_id too; texts aren't read.  All
+    columns pass through but for one of the name shard, which is replaced; an empty table stays empty.
+    """
     return op1_sharding.assign_shards(docs, op1_sharding.shard_names())
 
 

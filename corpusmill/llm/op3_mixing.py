@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, table
+from .common import SEPARATORS, cut, table
 
 #: hex digits of the order hash that name a bucket: 16**3 buckets for each source
 BUCKET_DIGITS = 3
@@ -130,7 +130,8 @@ def slopes() -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    # sizes are needed for the targets, the buckets and the rows: texts are read once
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return mix(docs, weights(), slopes(), size=F.col("size")).drop("positions").orderBy("first_position", "doc_id")
 
 
