@@ -69,7 +69,8 @@ def repeat_words(w):
         entries = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(entries, of_sorted))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    # items are taken one by one: a slice copies the whole array each time
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
     return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, of_hashes))
 
 
