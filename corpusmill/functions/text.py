@@ -54,9 +54,10 @@ def cap_length(tokens: Column, most: int = 100) -> Column:
 def ngrams(tokens: Column, n: int, sep: str = "_") -> Column:
     """n-grams of a token array, joined; none if there are fewer tokens than n."""
     empty = F.array().cast("array<string>")
+    # items are taken one by one: a slice copies the whole array each time
     return let(
         tokens,
-        lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), sep))).otherwise(empty),
+        lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(sep, *[F.get(w, i + k) for k in range(n)]))).otherwise(empty),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .splits import chance, hash_rank
 
 
@@ -18,11 +19,13 @@ def naive_bayes_cv(features: DataFrame, class_map: DataFrame, fold_of: DataFrame
     """Cross-validated multinomial naive Bayes: (fold, instance_id, label, score), a row for each used class.
 
     score = prior + sum_f x_f ln(1 + N_fc) - |d| ln(V + N_c), all from one table of counts: training
-    counts of fold k are the totals less fold k's own.  Only (feature, class) cells with a training
-    count are joined; the model is folded into one row for each feature, with its classes in an array.
+    counts of fold k are the totals less fold k's own.  The model has one row for each feature, with
+    two arrays: totals by class, and counts by fold and class.  So features are joined once, by
+    feature alone, and a row's terms of all classes are added up without being multiplied out.
     V: features of the whole space.
     """
-    cells = counts if counts is not None else nb_counts(features, class_map, fold_of, boolean)
+    fold_of = stored(fold_of)
+    cells = stored(counts if counts is not None else nb_counts(features, class_map, fold_of, boolean))
     folds = fold_of.select(F.col("test_fold").alias("fold")).distinct()
     labelled = class_map.join(fold_of, "instance_id")
     n_docs = labelled.groupBy("label", "test_fold").agg(F.count("*").alias("d"))
@@ -34,23 +37,22 @@ def naive_bayes_cv(features: DataFrame, class_map: DataFrame, fold_of: DataFrame
     classes = every.join(own, ["label", "fold"], "left").select("fold", "label", (F.col("td") - F.coalesce("d", F.lit(0))).alias("d"), (F.col("tw") - F.coalesce("w", F.lit(0))).alias("w")).where("d > 0")
     prior = F.lit(0.0) if uniform_prior else F.ln("d")
     classes = classes.crossJoin(size).select("fold", "label", prior.alias("prior"), F.ln(F.col("v") + F.col("w")).alias("norm"))
-    x = features.join(fold_of, "instance_id").select(F.col("test_fold").alias("fold"), "instance_id", "feature", F.col("value").cast("double").alias("x"))
-    return _score(x, cells, classes)
-
-
-def _score(x: DataFrame, cells: DataFrame, classes: DataFrame) -> DataFrame:
-    folds = classes.select("fold").distinct()
-    totals = cells.groupBy("label", "feature").agg(F.sum("n").alias("t"))
-    own = cells.select("label", "feature", F.col("test_fold").alias("fold"), "n")
-    # training counts as one row for each (feature, fold) with an array over the classes
-    model = totals.crossJoin(F.broadcast(folds)).join(own, ["label", "feature", "fold"], "left").select("fold", "feature", "label", (F.col("t") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-    model = model.groupBy("fold", "feature").agg(F.collect_list(F.struct("label", F.ln(1.0 + F.col("n")).alias("l"))).alias("cells"))
-    hits = x.join(model, ["fold", "feature"]).select("fold", "instance_id", "x", F.explode("cells").alias("c"))
-    sums = hits.groupBy("fold", "instance_id", F.col("c.label").alias("label")).agg(F.sum(F.col("x") * F.col("c.l")).alias("s"))
-    length = x.groupBy("fold", "instance_id").agg(F.sum("x").alias("len"))
-    grid = length.join(F.broadcast(classes), "fold")  # folds x classes
-    scored = grid.join(sums, ["fold", "instance_id", "label"], "left")
-    return scored.select("fold", "instance_id", "label", (F.col("prior") + F.coalesce("s", F.lit(0.0)) - F.col("len") * F.col("norm")).alias("score"))
+    # classes and folds are small closed spaces
+    labels = sorted(r.label for r in class_map.select("label").distinct().collect() if r.label is not None)
+    places = sorted(r.fold for r in folds.collect())
+    class_at = F.array_position(F.lit(labels), F.col("label")) - 1
+    fold_at = (F.array_position(F.lit(places), F.col("test_fold")) - 1) * len(labels)
+    model = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct((fold_at + class_at).cast("int"), "n"))).alias("m"))
+    per_fold = F.transform(F.sequence(F.lit(0), F.lit(len(places) * len(labels) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+    model = model.select("feature", per_fold.alias("own"))
+    totals = F.array(*[sum((F.get("own", F.lit(k * len(labels) + c)) for k in range(1, len(places))), F.get("own", F.lit(c))) for c in range(len(labels))])
+    model = model.select("feature", "own", totals.alias("total"))
+    x = features.join(fold_of, "instance_id").select("instance_id", "feature", F.col("value").cast("double").alias("x"), F.col("test_fold").alias("fold"), fold_at.cast("int").alias("_at"))
+    # each class's training count: the total less the own fold's
+    terms = [F.col("x") * F.ln(1 + F.get("total", F.lit(c)) - F.get("own", F.col("_at") + c)) for c in range(len(labels))]
+    sums = x.join(model, "feature", "left").groupBy("fold", "instance_id").agg(F.sum("x").alias("len"), *[F.sum(t).alias(f"s{c}") for c, t in enumerate(terms)])
+    rows = sums.select("fold", "instance_id", "len", F.explode(F.map_from_arrays(F.lit(labels), F.array(*[F.coalesce(f"s{c}", F.lit(0.0)) for c in range(len(labels))]))).alias("label", "s"))
+    return rows.join(F.broadcast(classes), ["fold", "label"]).select("fold", "instance_id", "label", (F.col("prior") + F.col("s") - F.col("len") * F.col("norm")).alias("score"))
 
 
 def nb_model(features: DataFrame, class_map: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +77,74 @@ def nb_predict(model: tuple[DataFrame, DataFrame], features: DataFrame) -> DataF
     )
 
 
+def nb_nodes(train: DataFrame, class_map: DataFrame, branches: DataFrame, test: DataFrame, at: DataFrame) -> DataFrame:
+    """(instance_id, node, branch, score): naive Bayes for many small tasks at once, each the choice of a branch at a node.
+
+    `branches`: (node, label, branch), a small table: which branch instances of a class train at a
+    node; classes that it lacks there don't train it.  `at`: (instance_id, node) to be scored.
+    V counts the features of the whole training part; features that a node doesn't know are dropped.
+    """
+    size = train.select("feature").distinct().agg(F.count("*").alias("v"))
+    rows = class_map.join(F.broadcast(branches), "label").select("instance_id", "node", "branch").distinct()
+    docs = rows.groupBy("node", "branch").agg(F.count("*").alias("d"))
+    cells = train.join(rows, "instance_id").groupBy("node", "branch", "feature").agg(F.sum("value").alias("n"))
+    words = cells.groupBy("node", "branch").agg(F.sum("n").alias("w"))
+    classes = docs.join(words, ["node", "branch"], "left").crossJoin(F.broadcast(size)).select("node", "branch", F.ln("d").alias("prior"), F.ln(F.col("v") + F.coalesce("w", F.lit(0))).alias("norm"))
+    # one row for each feature of a node, with its branches in an array: it also says which features the node knows
+    model = cells.groupBy("node", "feature").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.ln(1 + F.col("n"))))).alias("l"))
+    known = test.join(at, "instance_id").join(model, ["node", "feature"])
+    length = known.groupBy("instance_id", "node").agg(F.sum("value").alias("len"))
+    sums = known.select("instance_id", "node", "value", F.explode("l").alias("branch", "l")).groupBy("instance_id", "node", "branch").agg(F.sum(F.col("value") * F.col("l")).alias("s"))
+    grid = at.join(F.broadcast(classes), "node").join(length, ["instance_id", "node"], "left").join(sums, ["instance_id", "node", "branch"], "left")
+    score = F.col("prior") + F.coalesce("s", F.lit(0.0)) - F.coalesce("len", F.lit(0)) * F.col("norm")
+    return grid.select("instance_id", "node", "branch", score.alias("score"))
+
+
+def tree_branches(tree: dict, root: str = "root") -> list[tuple[int, str, str, str]]:
+    """(level, node, label, branch) of a tree of nested dicts whose leaves are lists of labels; a branch is a node's name or a label."""
+    rows = []
+
+    def leaves(part):
+        return sorted(part) if not isinstance(part, dict) else sorted(x for own in part.values() for x in leaves(own))
+
+    def walk(level, node, part):
+        if isinstance(part, dict):
+            for name, own in part.items():
+                rows.extend((level, node, label, name) for label in leaves(own))
+                walk(level + 1, name, own)
+        else:
+            rows.extend((level, node, label, label) for label in part)
+
+    walk(0, root, tree)
+    return rows
+
+
+def class_tree(train: DataFrame, class_map: DataFrame, test: DataFrame, tree: dict, root: str = "root") -> DataFrame:
+    """(instance_id, node): every node and, last, the leaf that each test instance is routed to, by naive Bayes at each node.
+
+    One pass for each level of the tree: all of its nodes are trained at once, by grouping on the
+    node, and instances move on to the branch with the highest score (ties by name).
+    """
+    spark, rows = train.sparkSession, tree_branches(tree, root)
+    inner = sorted({r[1] for r in rows})
+    at = test.select("instance_id").distinct().select("instance_id", F.lit(root).alias("node"))
+    every = at
+    for level in range(1 + max(r[0] for r in rows)):
+        branches = spark.createDataFrame([r[1:] for r in rows if r[0] == level], "node string, label string, branch string")
+        scores = nb_nodes(train, class_map, branches, test, at)
+        best = scores.groupBy("instance_id", "node").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "branch")).alias("b"))
+        moved = stored(best.select("instance_id", F.col("b.branch").alias("node")))
+        every = every.unionByName(moved)
+        at = moved.where(F.col("node").isin(inner))
+    return every
+
+
+def node_analysis(gold: DataFrame, routed: DataFrame) -> DataFrame:
+    """(node, n_gold, n_routed, n_both) from two tables (instance_id, node)."""
+    both = gold.withColumn("g", F.lit(1)).join(routed.withColumn("r", F.lit(1)), ["instance_id", "node"], "full")
+    return both.groupBy("node").agg(F.count("g").alias("n_gold"), F.count("r").alias("n_routed"), F.count(F.when(F.col("g").isNotNull() & F.col("r").isNotNull(), 1)).alias("n_both"))
+
+
 def probabilities(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Scores as shares: softmax over the classes of an instance."""
     w = Window.partitionBy(*keys)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import row_numbers
+
 MAX_FEATURES = 50_000
 
 
@@ -23,16 +25,12 @@ def feature_sequence(texts: DataFrame, values: Column, key: str = "doc_id") -> D
 
 
 def index_features(features: DataFrame, space: DataFrame | None = None) -> DataFrame:
-    """(feature, idx): the space, extended.  Old indices stay, new features follow in order of name.
-
-    The one ordered window runs over the vocabulary, not over the features of instances.
-    """
+    """(feature, idx): the space, extended.  Old indices stay, new features follow in order of name."""
     new = features.select("feature").distinct()
     if space is None:
-        return new.select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).cast("long").alias("idx"))
-    new = new.join(space, "feature", "left_anti")
+        return row_numbers(new, [F.col("feature")]).select("feature", (F.col("rn") - 1).cast("long").alias("idx"))
     top = space.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("top"))
-    fresh = new.select("feature", F.row_number().over(Window.orderBy("feature")).alias("rn")).crossJoin(F.broadcast(top))  # one row
+    fresh = row_numbers(new.join(space, "feature", "left_anti"), [F.col("feature")]).crossJoin(F.broadcast(top))  # one row
     return space.select("feature", "idx").unionByName(fresh.select("feature", (F.col("top") + F.col("rn")).cast("long").alias("idx")))
 
 
@@ -80,9 +78,11 @@ def most_common(a: DataFrame, n: int) -> DataFrame:
     return a.orderBy(F.desc("n"), "key").limit(n)
 
 
-def invert(df: DataFrame, key: str, values: str) -> DataFrame:
-    """(value, keys): from key -> array of values; keys sorted."""
-    return df.select(key, F.explode(values).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set(key)).alias("keys"))
+def invert(df: DataFrame, key: str, values: str, chunk: int = 100_000) -> DataFrame:
+    """(value, part, keys): from key -> array of values; keys are sorted, at most `chunk` in a row, and part counts a value's rows from 0."""
+    rows = df.select(key, F.explode(values).alias("value")).distinct()
+    placed = row_numbers(rows, [F.col(key)], ["value"]).withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int"))
+    return placed.groupBy("value", "part").agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
 def stats(features: DataFrame, instances: DataFrame, bins: int = 100) -> DataFrame:

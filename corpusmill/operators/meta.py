@@ -86,3 +86,13 @@ def stacked_features(scores: dict[str, DataFrame]) -> DataFrame:
     """Out-of-fold scores (instance_id, label, score) of several learners or results as features `name:label`."""
     parts = [s.select("instance_id", F.concat(F.lit(f"{name}:"), "label").alias("feature"), F.col("score").alias("value")) for name, s in sorted(scores.items())]
     return reduce(DataFrame.unionByName, parts)
+
+
+def unknown_branches(labels: list[str], unknown: str) -> list[tuple[str, str, str]]:
+    """(node, label, branch) of one task for each known class: it against the unknown class only."""
+    return [(k, x, x) for k in labels if k != unknown for x in (k, unknown)]
+
+
+def ordinal_branches(order: list[str]) -> list[tuple[str, str, str]]:
+    """(node, label, branch) of the K - 1 tasks whether a class comes after the i-th."""
+    return [(str(i), x, "after" if j > i else "upto") for i in range(len(order) - 1) for j, x in enumerate(order)]

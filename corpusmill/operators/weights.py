@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import row_numbers
+
 
 def of_role(df: DataFrame, split: DataFrame, role: str) -> DataFrame:
     return df.join(split.where(F.col("role") == role).select("fold", "instance_id"), "instance_id")
@@ -32,8 +34,8 @@ def cavnar_trenkle(features: DataFrame, class_map: DataFrame, descending: bool =
     """Smallest rank over the classes, each ranking its features by frequency, the most common first (rank 0)."""
     sums = features.join(class_map, "instance_id").groupBy("label", "feature").agg(F.sum("value").alias("n"))
     order = F.desc("n") if descending else F.asc("n")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "feature")) - 1
-    return sums.select("feature", rank.alias("r")).groupBy("feature").agg(F.min("r").cast("double").alias("weight"))
+    ranked = row_numbers(sums, [order, F.col("feature")], ["label"])
+    return ranked.groupBy("feature").agg(F.min(F.col("rn") - 1).cast("double").alias("weight"))
 
 
 def entropy_term(n: Column, total: Column) -> Column:
@@ -64,6 +66,25 @@ def _banded(features: DataFrame, band: Column, class_map: DataFrame, instances:
     return inside.crossJoin(prior).select("feature", (F.col("h0") - F.col("inside")).alias("weight"))
 
 
+def _present(rows: DataFrame, class_map: DataFrame, instances: DataFrame) -> DataFrame:
+    """The gain of presence, from one count for each (feature, class): the absent band is what is left of the totals."""
+    held = rows.groupBy("feature").agg(F.count("*").alias("n_f"))
+    cells = rows.join(class_map, "instance_id").groupBy("feature", "label").agg(F.count("*").alias("n_fc"))
+    classes = class_map.groupBy("label").agg(F.count("*").alias("n_c"))
+    one = instances.agg(F.count("*").alias("n_all")).crossJoin(classes.agg(F.sum("n_c").alias("m_all"), F.collect_list("n_c").alias("every")))  # one row
+    part = cells.join(F.broadcast(classes), "label").groupBy("feature").agg(F.collect_list(F.struct("n_fc", "n_c")).alias("c"), F.sum("n_fc").alias("m_f"))
+    rows = held.join(part, "feature", "left").crossJoin(F.broadcast(one))
+    some = F.coalesce("c", F.array().cast("array<struct<n_fc:bigint,n_c:bigint>>"))
+    m_f = F.coalesce("m_f", F.lit(0))
+    m_0 = F.col("m_all") - m_f
+    add = lambda values, term: F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
+    inside = add(some, lambda x: entropy_term(x["n_fc"], m_f))
+    # classes without the feature count whole: all of them, less those with it, plus what these leave
+    outside = add(F.col("every"), lambda n: entropy_term(n, m_0)) - add(some, lambda x: entropy_term(x["n_c"], m_0)) + add(some, lambda x: entropy_term(x["n_c"] - x["n_fc"], m_0))
+    prior = add(F.col("every"), lambda n: entropy_term(n, F.col("m_all")))
+    return rows.select("feature", (prior - (F.col("n_f") * inside + (F.col("n_all") - F.col("n_f")) * outside) / F.col("n_all")).alias("weight"))
+
+
 def info_gain(features: DataFrame, class_map: DataFrame, instances: DataFrame, bands: str = "presence", n: int = 5, base: float | None = None) -> DataFrame:
     """(feature, weight): class entropy less its mean over bands of the feature's value.
 
@@ -72,18 +93,18 @@ def info_gain(features: DataFrame, class_map: DataFrame, instances: DataFrame, b
     entropy counts label memberships.  Natural logarithm, or `base`.
     """
     if bands == "presence":
-        got = _banded(features.where("value <> 0"), F.lit(1), class_map, instances)
+        got = _present(features.where("value <> 0"), class_map, instances)
     elif bands == "uniform":
         top = features.groupBy("feature").agg(F.max("value").alias("top"))
         rows = features.join(top, "feature")
         got = _banded(rows, F.floor(F.col("value") * n / (F.col("top") + 1)).cast("int"), class_map, instances)
     elif bands == "equisize":
         size = instances.agg(F.count("*").alias("n_all"))
-        place = F.row_number().over(Window.partitionBy("feature").orderBy("value", "instance_id"))
-        held = F.count("*").over(Window.partitionBy("feature"))
-        rows = features.withColumn("_p", place).withColumn("_n", held).crossJoin(size)
+        held = features.groupBy("feature").agg(F.count("*").alias("_n"))
+        placed = row_numbers(features.select("instance_id", "feature", "value"), [F.col("value"), F.col("instance_id")], ["feature"])
+        rows = placed.join(held, "feature").crossJoin(F.broadcast(size))  # one row
         # zeros stand first: rank among all instances, from 0
-        rank = F.col("n_all") - F.col("_n") + F.col("_p") - 1
+        rank = F.col("n_all") - F.col("_n") + F.col("rn") - 1
         got = _banded(rows, F.floor(rank * n / F.col("n_all")).cast("int"), class_map, instances)
     else:
         raise ValueError(bands)
@@ -141,15 +162,15 @@ def lang_domain(features: DataFrame, class_map: DataFrame, domains: DataFrame, f
         domain = presence_gain(features, domains, fold_of).withColumnRenamed("weight", "d")
         own = own.join(domain, ["fold", "feature"])
         value = F.round(F.col("weight") - F.col("d"), 9)
-    ranks = own.select("fold", "label", "feature", value.alias("v"))
-    rank = F.row_number().over(Window.partitionBy("fold", "label").orderBy(F.desc("v"), "feature")) - 1
-    return ranks.select("fold", "feature", rank.alias("r")).groupBy("fold", "feature").agg(F.min("r").cast("double").alias("weight"))
+    ranked = row_numbers(own.select("fold", "label", "feature", value.alias("v")), [F.desc("v"), F.col("feature")], ["fold", "label"])
+    return ranked.groupBy("fold", "feature").agg(F.min(F.col("rn") - 1).cast("double").alias("weight"))
 
 
 def rank(weights: DataFrame, descending: bool = True) -> DataFrame:
     """`weights` (feature, weight) with rank from 0; ties by feature."""
     w = F.round("weight", 9)
-    return weights.withColumn("rank", (F.row_number().over(Window.orderBy(w.desc() if descending else w.asc(), "feature")) - 1).cast("long"))
+    ranked = row_numbers(weights, [w.desc() if descending else w.asc(), F.col("feature")])
+    return ranked.withColumn("rank", (F.col("rn") - 1).cast("long")).drop("rn")
 
 
 # ---- keep rules and transforms
@@ -157,7 +178,10 @@ def rank(weights: DataFrame, descending: bool = True) -> DataFrame:
 
 def highest_n(weights: DataFrame, n: int) -> DataFrame:
     """The n features of largest weight in each fold."""
-    keys = ["fold"] if "fold" in weights.columns else []
+    if "fold" not in weights.columns:
+        return weights.orderBy(F.round("weight", 9).desc(), "feature").limit(n).select("feature")
+    keys = ["fold"]
+    # Spark cuts each task's rows to the n best of a fold before the shuffle
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("weight", 9).desc(), "feature"))
     return weights.withColumn("_p", place).where(F.col("_p") <= n).select(*keys, "feature")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import features as fm
 from ..operators import splits as sp
+from ..shared import shared_dir, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,30 +56,24 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder that driver and executors share."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not base:
-            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            base = self.spark.sparkContext.getCheckpointDir()
-        return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        return f"{shared_dir(self.spark)}/scratch-{uuid.uuid4().hex}"
 
     def stored(self, table: DataFrame) -> DataFrame:
         """A feature table that several steps read: written once to the shared folder, and read from there."""
-        path = self.scratch()
-        table.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return stored(table)
 
     def checkpointing(self) -> None:
-        if not (self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()):
-            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        shared_dir(self.spark)
 
 
-def q(name: str, sql: str | None = None):
+def q(name: str, sql: str | None = None, once: bool = False):
     """Register a function of Tables as a query, with its SQL."""
 
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = sql
+            # tables that several others use are computed once
+            ORACLES[name] = re.sub(r"(\w) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", sql) if once else sql
         return f
 
     return add

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -18,11 +20,12 @@ R = lambda c, n=6: F.round(c, n).alias(c)
 
 def parts(t, features=None):
     """(train features, train classes, test features) of the stratified split."""
-    w, split = t.stored(features if features is not None else t.words()), t.train_test()
+    w, split = t.stored(features if features is not None else t.words()), t.stored(t.train_test())
     train, test = (split.where(F.col("role") == r).select("instance_id") for r in ("train", "test"))
     return w.join(train, "instance_id", "left_semi"), t.langs().join(train, "instance_id", "left_semi"), w.join(test, "instance_id", "left_semi")
 
 
+STRATA_TT = TT
 SPLIT = f"{FW}, {TT}, tr AS (SELECT f.* FROM f JOIN tt USING (instance_id) WHERE role = 'train'), te AS (SELECT f.* FROM f JOIN tt USING (instance_id) WHERE role = 'test'), cm AS (SELECT doc_id AS instance_id, lang AS label FROM documents JOIN tt ON doc_id = instance_id WHERE role = 'train'), nc AS (SELECT label, count(*) AS n_c FROM cm GROUP BY 1)"
 PROTO = {
     "mean": "CAST(sum(value) AS DOUBLE) / max(n_c)", "sum": "CAST(sum(value) AS DOUBLE)", "gmean": "exp(sum(ln(value)) / max(n_c))", "hmean": "max(n_c) / sum(1.0::DOUBLE / value)",
@@ -42,46 +45,70 @@ for _how in PROTO:
     q(f"pr_{_how}", f"WITH {SPLIT}, {proto_sql(_how)} SELECT label, feature, round(value, 6) AS value FROM p")(_prototype)
 
 
-def class_cosine(train: str = "p", key: str = "label") -> str:
-    return f"dots AS (SELECT {key}, te.instance_id, sum({train}.value * te.value) AS dot FROM {train} JOIN te USING (feature) GROUP BY ALL), na AS (SELECT {key}, sqrt(sum(value * value)) AS na FROM {train} GROUP BY 1), nb AS (SELECT instance_id, sqrt(sum(value * value)) AS nb FROM te GROUP BY 1), dist AS (SELECT {key}, instance_id, 1 - dot / (na * nb) AS dist FROM dots JOIN na USING ({key}) JOIN nb USING (instance_id))"
+def dense_sql(default: float = 0.0) -> str:
+    """Whole vectors over the features of both parts: dp(label, feature, value) and dq(instance_id, feature, value)."""
+    return f"""u AS (SELECT feature FROM tr UNION SELECT feature FROM te), dp AS (SELECT l.label, u.feature, round(coalesce(p.value, {default!r}::DOUBLE), 9) AS value FROM (SELECT DISTINCT label FROM p) l CROSS JOIN u LEFT JOIN p ON p.label = l.label AND p.feature = u.feature),
+    dq AS (SELECT i.instance_id, u.feature, CAST(coalesce(te.value, 0) AS DOUBLE) AS value FROM (SELECT DISTINCT instance_id FROM te) i CROSS JOIN u LEFT JOIN te ON te.instance_id = i.instance_id AND te.feature = u.feature)"""
 
 
-@q("ds_cosine", f"WITH {SPLIT}, {proto_sql('mean')}, {class_cosine()} SELECT label, instance_id, round(dist, 6) AS dist FROM dist")
-def _(t):
-    train, classes, test = parts(t)
-    return pr.cosine(pr.prototypes(train, classes), test, key="label").select("label", "instance_id", R("dist"))
+def rank_sql(table: str, key: str, out: str) -> str:
+    return f"{out} AS (SELECT {key}, feature, rank() OVER (PARTITION BY {key} ORDER BY value) + (count(*) OVER (PARTITION BY {key}, value) - 1) / 2 AS r FROM {table})"
 
 
-@q("ds_skew", f"""WITH {SPLIT}, {proto_sql('sum')}, pp AS (SELECT label, feature, value / sum(value) OVER (PARTITION BY label) AS p FROM p), qq AS (SELECT instance_id, feature, value / sum(value) OVER (PARTITION BY instance_id) AS q FROM te),
-s AS (SELECT label, instance_id, sum(p * ln(p / (0.99::DOUBLE * q + 0.01::DOUBLE * p))) AS sh, sum(p) AS mass FROM pp JOIN qq USING (feature) GROUP BY ALL) SELECT label, instance_id, round(sh + (1 - mass) * ln(100.0::DOUBLE), 6) AS dist FROM s""")
-def _(t):
+#: dist(label, instance_id, dist) from dense vectors, straight from the definitions
+DENSE = {
+    "cosine": "dist AS (SELECT label, instance_id, 1 - sum(dp.value * dq.value) / (sqrt(sum(dp.value * dp.value)) * sqrt(sum(dq.value * dq.value))) AS dist FROM dp JOIN dq USING (feature) GROUP BY ALL)",
+    "skew": "pp AS (SELECT label, feature, value / sum(value) OVER (PARTITION BY label) AS p FROM dp), qq AS (SELECT instance_id, feature, value / sum(value) OVER (PARTITION BY instance_id) AS q FROM dq), dist AS (SELECT label, instance_id, sum(CASE WHEN p > 0 THEN p * ln(p / (0.99::DOUBLE * q + 0.01::DOUBLE * p)) ELSE 0 END) AS dist FROM pp JOIN qq USING (feature) GROUP BY ALL)",
+    "oop": f"{rank_sql('dp', 'label', 'rp')}, {rank_sql('dq', 'instance_id', 'rq')}, dist AS (SELECT label, instance_id, CAST(sum(abs(rp.r - rq.r)) AS DOUBLE) AS dist FROM rp JOIN rq USING (feature) GROUP BY ALL)",
+    "spearman": f"{rank_sql('dp', 'label', 'rp')}, {rank_sql('dq', 'instance_id', 'rq')}, dist AS (SELECT label, instance_id, 1 - corr(rp.r, rq.r) AS dist FROM rp JOIN rq USING (feature) GROUP BY ALL)",
+}
+DISTANCES = {"cosine": pr.class_cosine, "skew": pr.class_skew, "oop": pr.out_of_place, "spearman": pr.spearman}
+
+
+def class_distances(t, distance: str, how: str):
     train, classes, test = parts(t)
-    return pr.skew(pr.prototypes(train, classes, "sum"), test, key="label").select("label", "instance_id", R("dist"))
+    protos = t.stored(pr.prototypes(train, classes, how).withColumn("value", F.round("value", 9)))
+    return DISTANCES[distance](protos, test, pr.space_size(train, test), default=pr.DEFAULTS[how])
 
 
-OOP = "pk AS (SELECT * FROM (SELECT label, feature, row_number() OVER (PARTITION BY label ORDER BY value DESC, feature) - 1 AS pr FROM p) WHERE pr < 300), tk AS (SELECT * FROM (SELECT instance_id, feature, row_number() OVER (PARTITION BY instance_id ORDER BY value DESC, feature) - 1 AS r FROM te) WHERE r < 300), sz AS (SELECT instance_id, count(*) AS size FROM tk GROUP BY 1), near AS (SELECT label, instance_id, sum(abs(r - pr)) AS d, count(*) AS n FROM tk JOIN pk USING (feature) GROUP BY ALL), oop AS (SELECT l.label, sz.instance_id, CAST(coalesce(d, 0) + 300 * (size - coalesce(n, 0)) AS DOUBLE) AS dist FROM sz CROSS JOIN (SELECT DISTINCT label FROM p) l LEFT JOIN near ON near.label = l.label AND near.instance_id = sz.instance_id)"
+def distance_sql(distance: str, how: str) -> str:
+    return f"{SPLIT}, {proto_sql(how)}, {dense_sql(pr.DEFAULTS[how])}, {DENSE[distance]}"
 
 
-@q("ds_outofplace", f"WITH {SPLIT}, {proto_sql('sum')}, {OOP} SELECT * FROM oop")
-def _(t):
-    train, classes, test = parts(t)
-    return pr.out_of_place(pr.prototypes(train, classes, "sum"), test)
+for _name, _distance, _how in (("ds_cosine", "cosine", "mean"), ("ds_skew", "skew", "sum"), ("ds_outofplace", "oop", "sum"), ("ds_spearman", "spearman", "sum")):
 
+    def _distances(t, distance=_distance, how=_how):
+        return class_distances(t, distance, how).select("label", "instance_id", R("dist", 5))
+
+    q(_name, f"WITH {distance_sql(_distance, _how)} SELECT label, instance_id, round(dist, 5) AS dist FROM dist")(_distances)
+
+
+#: nearest prototypes: every distance with every prototype; the first is clf_nearest_prototype itself
+for _distance in ("cosine", "skew", "oop"):
+    for _how in ("mean", "gmean", "hmean"):
+
+        def _nearest(t, distance=_distance, how=_how):
+            d = class_distances(t, distance, how).withColumn("dist", F.round("dist", 5))
+            return pr.nearest(d, "label").select("instance_id", "label", "dist")
+
+        q("clf_nearest_prototype" if (_distance, _how) == ("cosine", "mean") else f"clf_nearest_{_distance}_{_how}", f"WITH {distance_sql(_distance, _how)}, nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(dist, 5), label) AS rn FROM dist) SELECT instance_id, label, round(dist, 5) AS dist FROM nn WHERE rn = 1")(_nearest)
 
-@q("ds_spearman", f"WITH {SPLIT}, {proto_sql('sum')}, x AS (SELECT label, te.instance_id, p.feature, p.value AS x, te.value AS y FROM p JOIN te USING (feature)), r AS (SELECT label, instance_id, rank() OVER (PARTITION BY label, instance_id ORDER BY x) + (count(*) OVER (PARTITION BY label, instance_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY label, instance_id ORDER BY y) + (count(*) OVER (PARTITION BY label, instance_id, y) - 1) / 2 AS ry FROM x) SELECT label, instance_id, round(1 - corr(rx, ry), 6) + 0.0::DOUBLE AS dist FROM r GROUP BY ALL HAVING count(*) > 1 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0")
-def _(t):
-    train, classes, test = parts(t)
-    p = pr.prototypes(train, classes, "sum").withColumnRenamed("value", "x")
-    return pr.spearman(p.join(test.withColumnRenamed("value", "y"), "feature")).select("label", "instance_id", (F.round("dist", 6) + 0.0).alias("dist")).where("dist IS NOT NULL")
 
+KL = f"""{SPLIT}, sp AS (SELECT feature, CAST(sum(value) AS DOUBLE) AS t FROM tr GROUP BY 1), th AS (SELECT feature, t / (SELECT sum(t) FROM sp) AS theta FROM sp),
+cc AS (SELECT label AS key, feature, CAST(sum(value) AS DOUBLE) AS value FROM tr JOIN cm USING (instance_id) GROUP BY ALL), tc AS (SELECT instance_id AS key, feature, CAST(value AS DOUBLE) AS value FROM te JOIN th USING (feature)),
+cs AS (SELECT key, sum(value) AS n, greatest(count(*) FILTER (WHERE value = 1), 1) AS h, 1 - sum(theta) AS u FROM cc JOIN th USING (feature) GROUP BY 1), ts AS (SELECT key, sum(value) AS n, greatest(count(*) FILTER (WHERE value = 1), 1) AS h, 1 - sum(theta) AS u FROM tc JOIN th USING (feature) GROUP BY 1),
+pd AS (SELECT s.key AS label, th.feature, CASE WHEN c.value IS NOT NULL THEN (1 - CASE WHEN u > 1e-12 THEN least(h / n, 0.5) ELSE 0 END) * c.value / n ELSE least(h / n, 0.5) * theta / u END AS p FROM cs s CROSS JOIN th LEFT JOIN cc c ON c.key = s.key AND c.feature = th.feature),
+qd AS (SELECT s.key AS instance_id, th.feature, CASE WHEN c.value IS NOT NULL THEN (1 - CASE WHEN u > 1e-12 THEN least(h / n, 0.5) ELSE 0 END) * c.value / n ELSE least(h / n, 0.5) * theta / u END AS q FROM ts s CROSS JOIN th LEFT JOIN tc c ON c.key = s.key AND c.feature = th.feature),
+dist AS (SELECT label, instance_id, sum(p * ln(p / q)) AS dist FROM pd JOIN qd USING (feature) GROUP BY ALL)"""
 
-@q("ds_kl")
+
+@q("ds_kl", f"WITH {KL} SELECT label, instance_id, round(dist, 4) AS dist FROM dist")
 def _(t):
     train, classes, test = parts(t)
     return cf.kl_prototype(train, classes, test).select("label", "instance_id", R("dist", 4))
 
 
-@q("clf_kl_prototype")
+@q("clf_kl_prototype", f"WITH {KL}, nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(dist, 9), label) AS rn FROM dist) SELECT lang AS gold, label, count(*) AS n FROM nn JOIN documents ON doc_id = instance_id WHERE rn = 1 GROUP BY ALL")
 def _(t):
     """Which class is the nearest by smoothed divergence, and is it the right one?"""
     train, classes, test = parts(t)
@@ -89,53 +116,92 @@ def _(t):
     return best.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
 
 
-def knn(t, distance):
-    train, classes, test = parts(t)
-    d = distance(train.withColumnRenamed("instance_id", "train_id"), test)
-    return pr.nearest(d).join(classes.withColumnRenamed("instance_id", "train_id"), "train_id").select("instance_id", "train_id", "label", R("dist"))
+def search(t):
+    """All instances, and as queries those whose id is divisible by 100."""
+    w = t.stored(t.words())
+    return w.withColumnRenamed("instance_id", "train_id"), w.where("instance_id % 100 = 0")
+
+
+def knn(t, distance, furthest):
+    train, queries = search(t)
+    best = pr.nearest(distance(train, queries)).select("instance_id", "train_id", "dist")
+    best = pr.with_strangers(best, queries, train.select("train_id").distinct(), furthest)
+    return best.join(t.langs().withColumnRenamed("instance_id", "train_id"), "train_id").select("instance_id", "train_id", "label", R("dist"))
 
 
-NEIGHBOUR = "trn AS (SELECT instance_id AS train_id, feature, value FROM tr), " + class_cosine("trn", "train_id")
+SEARCH = f"{FW}, {LANG}, qs AS (SELECT * FROM f WHERE instance_id % 100 = 0), ids AS (SELECT DISTINCT instance_id AS train_id FROM f), grid AS (SELECT i.instance_id, train_id FROM (SELECT DISTINCT instance_id FROM qs) i JOIN ids ON train_id <> i.instance_id)"
+NEIGHBOUR = f"{SEARCH}, nrm AS (SELECT instance_id, sqrt(sum(value * value)) AS nr FROM f GROUP BY 1), dots AS (SELECT f.instance_id AS train_id, qs.instance_id, sum(f.value * qs.value) AS dot FROM f JOIN qs USING (feature) GROUP BY ALL), dist AS (SELECT g.instance_id, g.train_id, 1 - coalesce(dot, 0) / (a.nr * b.nr) AS dist FROM grid g JOIN nrm a ON a.instance_id = g.train_id JOIN nrm b ON b.instance_id = g.instance_id LEFT JOIN dots d ON d.instance_id = g.instance_id AND d.train_id = g.train_id)"
+SKEWED = f"{SEARCH}, sh AS (SELECT instance_id, feature, value / sum(value) OVER (PARTITION BY instance_id) AS p FROM f), part AS (SELECT a.instance_id AS train_id, b.instance_id, sum(a.p * ln(a.p / (0.99::DOUBLE * b.p + 0.01::DOUBLE * a.p))) AS s, sum(a.p) AS mass FROM sh a JOIN sh b USING (feature) WHERE b.instance_id % 100 = 0 GROUP BY ALL), dist AS (SELECT g.instance_id, g.train_id, coalesce(s, 0) + (1 - coalesce(mass, 0)) * ln(100.0::DOUBLE) AS dist FROM grid g LEFT JOIN part d ON d.instance_id = g.instance_id AND d.train_id = g.train_id)"
 FIRST = "nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(dist, 9), train_id) AS rn FROM dist)"
 
 
-@q("nn_one", f"WITH {SPLIT}, {NEIGHBOUR}, {FIRST} SELECT nn.instance_id, train_id, label, round(dist, 6) + 0.0::DOUBLE AS dist FROM nn JOIN cm ON cm.instance_id = train_id WHERE rn = 1")
+@q("nn_one", f"WITH {NEIGHBOUR}, {FIRST} SELECT nn.instance_id, train_id, label, round(dist, 6) + 0.0::DOUBLE AS dist FROM nn JOIN cm ON cm.instance_id = train_id WHERE rn = 1")
 def _(t):
-    return knn(t, pr.cosine)
+    return knn(t, pr.cosine, 1.0)
 
 
-@q("nn_class_dist", f"WITH {SPLIT}, {NEIGHBOUR} SELECT dist.instance_id, label, round(min(dist), 6) + 0.0::DOUBLE AS dist FROM dist JOIN cm ON cm.instance_id = train_id GROUP BY ALL")
+@q("nn_class_dist", f"WITH {NEIGHBOUR} SELECT dist.instance_id, label, round(min(dist), 6) + 0.0::DOUBLE AS dist FROM dist JOIN cm ON cm.instance_id = train_id GROUP BY ALL")
 def _(t):
-    train, classes, test = parts(t)
-    return pr.class_distance(pr.cosine(train.withColumnRenamed("instance_id", "train_id"), test), classes).select("instance_id", "label", R("dist"))
+    train, queries = search(t)
+    return pr.class_distance(pr.cosine(train, queries), t.langs(), queries).select("instance_id", "label", R("dist"))
 
 
-@q("clf_knn")
+@q("clf_knn", f"WITH {SKEWED}, {FIRST} SELECT nn.instance_id, train_id, label, round(dist, 6) + 0.0::DOUBLE AS dist FROM nn JOIN cm ON cm.instance_id = train_id WHERE rn = 1")
 def _(t):
-    return knn(t, pr.skew).groupBy("label").agg(F.count("*").alias("n"))
+    return knn(t, pr.skew, math.log(100))
 
 
-@q("clf_nearest_prototype", f"WITH {SPLIT}, {proto_sql('mean')}, {class_cosine()}, nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(dist, 9), label) AS rn FROM dist) SELECT instance_id, label, round(dist, 6) AS dist FROM nn WHERE rn = 1")
-def _(t):
-    train, classes, test = parts(t)
-    return pr.nearest(pr.cosine(pr.prototypes(train, classes), test, key="label"), "label").select("instance_id", "label", R("dist"))
+def gram_sql(n: int) -> str:
+    return f"SELECT doc_id AS instance_id, substr(h, 2 * i - 1, {2 * n}) AS feature FROM (SELECT doc_id, h, unnest(generate_series(1, len(h) // 2 - {n - 1})) AS i FROM hx)"
+
 
+TEXTCAT = f"""hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), g AS (SELECT instance_id, feature, count(*) AS value FROM ({" UNION ALL ".join(gram_sql(n) for n in range(1, 6))}) GROUP BY ALL),
+{STRATA_TT}, cm AS (SELECT doc_id AS instance_id, lang AS label FROM documents JOIN tt ON doc_id = instance_id WHERE role = 'train'),
+gs AS (SELECT label, feature, sum(value) AS n FROM g JOIN cm USING (instance_id) GROUP BY ALL), kept AS (SELECT DISTINCT feature FROM (SELECT feature, row_number() OVER (PARTITION BY label ORDER BY n DESC, feature) - 1 AS r FROM gs) WHERE r < 300),
+tr AS (SELECT g.* FROM g JOIN tt USING (instance_id) SEMI JOIN kept USING (feature) WHERE role = 'train'), te AS (SELECT g.* FROM g JOIN tt USING (instance_id) SEMI JOIN kept USING (feature) WHERE role = 'test'), nc AS (SELECT label, count(*) AS n_c FROM cm GROUP BY 1)"""
 
-@q("clf_textcat", f"WITH {SPLIT.replace(FW, FB + ', f AS (SELECT * FROM b)')}, {proto_sql('sum')}, {OOP}, nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY dist, label) AS rn FROM oop) SELECT instance_id, label, dist FROM nn WHERE rn = 1")
+
+@q("clf_textcat", f"WITH {TEXTCAT}, {proto_sql('sum')}, {dense_sql()}, {DENSE['oop']}, nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(dist, 5), label) AS rn FROM dist) SELECT instance_id, label, round(dist, 5) AS dist FROM nn WHERE rn = 1", once=True)
 def _(t):
-    train, classes, test = parts(t, t.bigrams())
-    return pr.nearest(pr.out_of_place(pr.prototypes(train, classes, "sum"), test), "label").select("instance_id", "label", "dist")
+    """Profiles of byte 1- to 5-grams: the 300 commonest of each class are the space, ranked out of place."""
+    grams = F.concat(*[tx.byte_ngrams(F.col("text"), n) for n in range(1, 6)])
+    train, classes, test = parts(t, fm.feature_counts(t.documents, grams))
+    kept = F.broadcast(t.stored(wt.less_than(wt.cavnar_trenkle(train, classes), 300)))  # proven bound: 300 features a class
+    train, test = t.stored(wt.select(train, kept)), t.stored(wt.select(test, kept))
+    d = pr.out_of_place(t.stored(pr.prototypes(train, classes, "sum")), test, pr.space_size(train, test))
+    return pr.nearest(d.withColumn("dist", F.round("dist", 5)), "label").select("instance_id", "label", "dist")
+
+
+def nb_cte(features: str = "b", cell: str = "value", pre: str = "") -> str:
+    """CTEs that end in `pre`nb(fold, instance_id, label, score), from a feature table, folds and cm."""
+    x = pre
+    return f"""{x}cells AS (SELECT test_fold, label, feature, sum({cell}) AS n FROM {features} JOIN cm USING (instance_id) JOIN folds USING (instance_id) GROUP BY ALL),
+    {x}ks AS (SELECT DISTINCT test_fold AS fold FROM folds), {x}v AS (SELECT count(DISTINCT feature) AS v FROM {x}cells),
+    {x}model AS (SELECT k.fold, label, feature, sum(n) AS n FROM {x}cells, {x}ks k WHERE test_fold <> k.fold GROUP BY ALL),
+    {x}cls AS (SELECT k.fold, label, count(*) AS d FROM cm JOIN folds USING (instance_id), {x}ks k WHERE test_fold <> k.fold GROUP BY ALL),
+    {x}tot AS (SELECT fold, label, sum(n) AS w FROM {x}model GROUP BY ALL),
+    {x}x AS (SELECT test_fold AS fold, instance_id, feature, value FROM {features} JOIN folds USING (instance_id)), {x}ln_ AS (SELECT fold, instance_id, sum(value) AS len FROM {x}x GROUP BY ALL),
+    {x}hit AS (SELECT fold, instance_id, label, sum(value * ln(1 + n)) AS s FROM {x}x JOIN {x}model USING (fold, feature) GROUP BY ALL),
+    {x}nb AS (SELECT l.fold, l.instance_id, c.label, ln(c.d) + coalesce(s, 0) - len * ln(v.v + coalesce(w, 0)) AS score FROM {x}ln_ l JOIN {x}cls c ON c.fold = l.fold JOIN {x}v v ON true LEFT JOIN {x}tot t ON t.fold = c.fold AND t.label = c.label LEFT JOIN {x}hit h ON h.fold = l.fold AND h.instance_id = l.instance_id AND h.label = c.label)"""
 
 
 def nb_sql(cell: str = "value") -> str:
-    return f"""{FB}, {folds_sql()}, {LANG}, cells AS (SELECT test_fold, label, feature, sum({cell}) AS n FROM b JOIN cm USING (instance_id) JOIN folds USING (instance_id) GROUP BY ALL),
-    ks AS (SELECT DISTINCT test_fold AS fold FROM folds), v AS (SELECT count(DISTINCT feature) AS v FROM cells),
-    model AS (SELECT k.fold, label, feature, sum(n) AS n FROM cells, ks k WHERE test_fold <> k.fold GROUP BY ALL),
-    cls AS (SELECT k.fold, label, count(*) AS d FROM cm JOIN folds USING (instance_id), ks k WHERE test_fold <> k.fold GROUP BY ALL),
-    tot AS (SELECT fold, label, sum(n) AS w FROM model GROUP BY ALL),
-    x AS (SELECT test_fold AS fold, instance_id, feature, value FROM b JOIN folds USING (instance_id)), ln_ AS (SELECT fold, instance_id, sum(value) AS len FROM x GROUP BY ALL),
-    hit AS (SELECT fold, instance_id, label, sum(value * ln(1 + n)) AS s FROM x JOIN model USING (fold, feature) GROUP BY ALL),
-    nb AS (SELECT l.fold, l.instance_id, c.label, ln(c.d) + coalesce(s, 0) - len * ln(v.v + coalesce(w, 0)) AS score FROM ln_ l JOIN cls c ON c.fold = l.fold JOIN v ON true LEFT JOIN tot ON tot.fold = c.fold AND tot.label = c.label LEFT JOIN hit ON hit.fold = l.fold AND hit.instance_id = l.instance_id AND hit.label = c.label)"""
+    return f"{FB}, {folds_sql()}, {LANG}, {nb_cte(cell=cell)}"
+
+
+def best_sql(scores: str, out: str = "best") -> str:
+    return f"{out} AS (SELECT fold, instance_id, label FROM (SELECT *, row_number() OVER (PARTITION BY fold, instance_id ORDER BY round(score, 9) DESC, label) AS rn FROM {scores}) WHERE rn = 1)"
+
+
+def nodes_sql(branches, pre: str, train: str = "tr", classes: str = "cm", test: str = "te", at: str = "at0") -> str:
+    """CTEs that end in `pre`nb(instance_id, node, branch, score): naive Bayes for the tasks of (node, label, branch)."""
+    x, values = pre, ", ".join(f"('{n}', '{l}', '{b}')" for n, l, b in branches)
+    return f"""{x}br(node, label, branch) AS (VALUES {values}), {x}rw AS (SELECT DISTINCT instance_id, node, branch FROM {classes} JOIN {x}br USING (label)), {x}v AS (SELECT count(DISTINCT feature) AS v FROM {train}),
+    {x}d AS (SELECT node, branch, count(*) AS d FROM {x}rw GROUP BY ALL), {x}c AS (SELECT node, branch, feature, sum(value) AS n FROM {train} JOIN {x}rw USING (instance_id) GROUP BY ALL), {x}w AS (SELECT node, branch, sum(n) AS w FROM {x}c GROUP BY ALL),
+    {x}k AS (SELECT instance_id, node, feature, value FROM {test} JOIN {at} USING (instance_id) SEMI JOIN {x}c USING (node, feature)), {x}l AS (SELECT instance_id, node, sum(value) AS len FROM {x}k GROUP BY ALL),
+    {x}s AS (SELECT instance_id, node, branch, sum(value * ln(1 + n)) AS s FROM {x}k JOIN {x}c USING (node, feature) GROUP BY ALL),
+    {x}nb AS (SELECT a.instance_id, a.node, d.branch, ln(d.d) + coalesce(s, 0) - coalesce(len, 0) * ln(v.v + coalesce(w, 0)) AS score FROM {at} a JOIN {x}d d ON d.node = a.node CROSS JOIN {x}v v LEFT JOIN {x}w w ON w.node = d.node AND w.branch = d.branch
+    LEFT JOIN {x}l l ON l.instance_id = a.instance_id AND l.node = a.node LEFT JOIN {x}s s ON s.instance_id = a.instance_id AND s.node = a.node AND s.branch = d.branch)"""
 
 
 def naive_bayes(t, boolean=False):
@@ -157,7 +223,7 @@ def _(t):
     return cf.probabilities(naive_bayes(t), ["fold", "instance_id"]).select("fold", "instance_id", "label", R("score", 4))
 
 
-BEST = "best AS (SELECT fold, instance_id, label FROM (SELECT *, row_number() OVER (PARTITION BY fold, instance_id ORDER BY round(score, 9) DESC, label) AS rn FROM nb) WHERE rn = 1)"
+BEST = best_sql("nb")
 
 
 @q("it_highest", f"WITH {nb_sql()}, {BEST} SELECT CAST(fold AS INTEGER) AS fold, instance_id, label FROM best")
@@ -180,6 +246,34 @@ def _(t):
     return one.unionByName(ev.macro(cells).select(F.lit("macro").alias("average"), *[R(c) for c in names]))
 
 
+TREE = {"romance": ["es", "fr"], "germanic": ["de", "en"]}
+TREE_ROWS = cf.tree_branches(TREE)
+TREE_SQL = f"""{SPLIT}, at0 AS (SELECT DISTINCT instance_id, 'root' AS node FROM te), {nodes_sql([r[1:] for r in TREE_ROWS if r[0] == 0], 'na_')},
+at1 AS (SELECT instance_id, branch AS node FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(score, 9) DESC, branch) AS rn FROM na_nb) WHERE rn = 1),
+{nodes_sql([r[1:] for r in TREE_ROWS if r[0] == 1], 'nz_', at='at1')}, at2 AS (SELECT instance_id, branch AS node FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(score, 9) DESC, branch) AS rn FROM nz_nb) WHERE rn = 1),
+routed AS (SELECT * FROM at0 UNION ALL SELECT * FROM at1 UNION ALL SELECT * FROM at2)"""
+
+
+@q("clf_class_tree", f"WITH {TREE_SQL} SELECT instance_id, node AS label FROM at2", once=True)
+def _(t):
+    """Languages by way of their family: the leaf that each text is routed to."""
+    train, classes, test = parts(t)
+    leaves = sorted({r[2] for r in TREE_ROWS})
+    return cf.class_tree(train, classes, test, TREE).where(F.col("node").isin(leaves)).select("instance_id", F.col("node").alias("label"))
+
+
+@q("clf_class_tree_nodes", f"""WITH {TREE_SQL}, own(node, label) AS (VALUES {", ".join(f"('{r[1]}', '{r[2]}')" for r in TREE_ROWS)}, {", ".join(f"('{x}', '{x}')" for x in sorted({r[2] for r in TREE_ROWS}))}),
+gold AS (SELECT DISTINCT instance_id, node FROM (SELECT DISTINCT instance_id FROM te) JOIN documents ON doc_id = instance_id JOIN own ON label = lang)
+SELECT node, count(g.instance_id) AS n_gold, count(r.instance_id) AS n_routed, count(*) FILTER (WHERE g.instance_id IS NOT NULL AND r.instance_id IS NOT NULL) AS n_both FROM gold g FULL JOIN routed r USING (instance_id, node) GROUP BY 1""", once=True)
+def _(t):
+    """For each node of the tree, how many test instances belong there, are routed there, and both."""
+    train, classes, test = parts(t)
+    own = [(r[1], r[2]) for r in TREE_ROWS] + [(x, x) for x in sorted({r[2] for r in TREE_ROWS})]
+    labels = t.langs().join(test.select("instance_id").distinct(), "instance_id", "left_semi")
+    gold = labels.join(F.broadcast(t.spark.createDataFrame(own, "node string, label string")), "label").select("instance_id", "node").distinct()
+    return cf.node_analysis(gold, cf.class_tree(train, classes, test, TREE))
+
+
 TEST = f"{TT}, te AS (SELECT instance_id FROM tt WHERE role = 'test'), cm AS (SELECT doc_id AS instance_id, lang AS label FROM documents JOIN tt ON doc_id = instance_id WHERE role = 'train')"
 
 
@@ -255,6 +349,61 @@ def _(t):
     return mt.accept_or_unknown(d, "en")
 
 
+ALL_AT = "ids0 AS (SELECT DISTINCT instance_id FROM te)"
+GOLD_COUNTS = "SELECT lang AS gold, label, count(*) AS n FROM found JOIN documents ON doc_id = instance_id GROUP BY ALL"
+
+
+def gold_counts(t, found):
+    return found.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
+
+
+UNKNOWN = mt.unknown_branches(["de", "en", "es", "fr"], "en")
+
+
+@q("mt_unknown_learn", f"""WITH {SPLIT}, {ALL_AT}, at0 AS (SELECT instance_id, node FROM ids0, (VALUES ('de'), ('es'), ('fr')) n(node)), {nodes_sql(UNKNOWN, 'na_')},
+yes AS (SELECT instance_id, node AS label FROM na_nb GROUP BY ALL HAVING round(max(score) FILTER (WHERE branch = node) - max(score) FILTER (WHERE branch = 'en'), 9) > 0),
+found AS (SELECT * FROM yes UNION ALL SELECT instance_id, 'en' FROM ids0 WHERE instance_id NOT IN (SELECT instance_id FROM yes)) {GOLD_COUNTS}""", once=True)
+def _(t):
+    """A naive Bayes for each known class against the unknown one; what none accepts is unknown."""
+    train, classes, test = parts(t)
+    at = test.select("instance_id").distinct().crossJoin(F.broadcast(t.spark.createDataFrame([(x,) for x in ("de", "es", "fr")], "node string")))
+    scores = cf.nb_nodes(train, classes, t.spark.createDataFrame(UNKNOWN, "node string, label string, branch string"), test, at)
+    lead = F.max(F.when(F.col("branch") == F.col("node"), F.col("score"))) - F.max(F.when(F.col("branch") == "en", F.col("score")))
+    decisions = scores.groupBy("instance_id", F.col("node").alias("task")).agg((F.round(lead, 9) > 0).alias("accepted"))
+    return gold_counts(t, mt.accept_or_unknown(decisions, "en"))
+
+
+ORDER = ["de", "en", "es", "fr"]
+
+
+@q("mt_ordinal_learn", f"""WITH {SPLIT}, {ALL_AT}, at0 AS (SELECT instance_id, node FROM ids0, (VALUES ('0'), ('1'), ('2')) n(node)), {nodes_sql(mt.ordinal_branches(ORDER), 'na_')},
+p AS (SELECT instance_id, CAST(node AS INTEGER) AS o, 1 / (1 + exp(greatest(-700, least(700, max(score) FILTER (WHERE branch = 'upto') - max(score) FILTER (WHERE branch = 'after'))))) AS p FROM na_nb GROUP BY ALL),
+wide AS (SELECT instance_id, max(p) FILTER (WHERE o = 0) AS a, max(p) FILTER (WHERE o = 1) AS b, max(p) FILTER (WHERE o = 2) AS c FROM p GROUP BY 1)
+SELECT instance_id, unnest([0, 1, 2, 3])::INTEGER AS ord, round(unnest([1 - a, a - b, b - c, c]), 5)::DOUBLE + 0.0::DOUBLE AS score FROM wide""", once=True)
+def _(t):
+    """A naive Bayes for each task whether the class comes after the i-th, put together to class probabilities."""
+    train, classes, test = parts(t)
+    at = test.select("instance_id").distinct().crossJoin(F.broadcast(t.spark.createDataFrame([("0",), ("1",), ("2",)], "node string")))
+    scores = cf.nb_nodes(train, classes, t.spark.createDataFrame(mt.ordinal_branches(ORDER), "node string, label string, branch string"), test, at)
+    gap = F.max(F.when(F.col("branch") == "upto", F.col("score"))) - F.max(F.when(F.col("branch") == "after", F.col("score")))
+    p = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), gap))))
+    greater = scores.groupBy("instance_id", "node").agg(p.alias("p")).select("instance_id", F.col("node").cast("int").alias("ord"), "p")
+    return mt.ordinal_scores(greater, 4).select("instance_id", "ord", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@q("mt_prototype_learn", f"""WITH {SPLIT}, {proto_sql('mean')}, pt AS (SELECT label AS instance_id, feature, value FROM p), pc AS (SELECT DISTINCT label AS instance_id, label FROM p), at0 AS (SELECT DISTINCT instance_id, 'all' AS node FROM te),
+{nodes_sql([("all", x, x) for x in ORDER], 'na_', train='pt', classes='pc')}, found AS (SELECT instance_id, branch AS label FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(score, 9) DESC, branch) AS rn FROM na_nb) WHERE rn = 1) {GOLD_COUNTS}""", once=True)
+def _(t):
+    """Naive Bayes trained on one mean prototype for each class."""
+    train, classes, test = parts(t)
+    protos = t.stored(pr.prototypes(train, classes, "mean"))
+    own = protos.select(F.col("label").alias("instance_id"), "feature", "value")
+    labels = protos.select(F.col("label").alias("instance_id"), "label").distinct()
+    at = test.select("instance_id").distinct().withColumn("node", F.lit("all"))
+    scores = cf.nb_nodes(own, labels, t.spark.createDataFrame([("all", x, x) for x in ORDER], "node string, label string, branch string"), test, at)
+    return gold_counts(t, ev.highest(scores.withColumnRenamed("branch", "label"), ["instance_id"]).select("instance_id", "label"))
+
+
 @q("mt_ordinal", "WITH c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1), o(label, ord) AS (VALUES ('de', 0), ('en', 1), ('es', 2), ('fr', 3)) SELECT CAST(ord AS INTEGER) AS task, CAST(sum(n) OVER (ORDER BY ord) AS BIGINT) AS negative, CAST(sum(n) OVER () - sum(n) OVER (ORDER BY ord) AS BIGINT) AS positive FROM c JOIN o USING (label) QUALIFY sum(n) OVER () - sum(n) OVER (ORDER BY ord) > 0")
 def _(t):
     order = t.spark.createDataFrame([("de", 0), ("en", 1), ("es", 2), ("fr", 3)], "label string, ord int")
@@ -284,12 +433,17 @@ def _(t):
     return best.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
 
 
-@q("mt_stacking")
+def share_sql(pre: str, name: str) -> str:
+    return f"{pre}sh AS (SELECT instance_id, '{name}:' || label AS feature, e / sum(e) OVER (PARTITION BY fold, instance_id) AS value FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY fold, instance_id)) AS e FROM {pre}nb))"
+
+
+@q("mt_stacking", f"WITH {FB}, {folds_sql()}, {LANG}, {nb_cte(pre='m')}, {nb_cte(cell='1', pre='o')}, {share_sql('m', 'multinomial')}, {share_sql('o', 'boolean')}, st AS (SELECT * FROM msh UNION ALL SELECT * FROM osh), {nb_cte('st', pre='z')}, {best_sql('znb')} SELECT lang AS gold, label, count(*) AS n FROM best JOIN documents ON doc_id = instance_id GROUP BY ALL", once=True)
 def _(t):
-    """Out-of-fold scores of two learners as features of a third."""
-    a = cf.probabilities(naive_bayes(t), ["fold", "instance_id"])
-    b = cf.probabilities(naive_bayes(t, True), ["fold", "instance_id"])
-    return mt.stacked_features({"multinomial": a, "boolean": b}).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    """Out-of-fold scores of two learners are the features of a third, cross-validated on the same folds."""
+    b, langs, folds = t.stored(t.bigrams()), t.langs(), t.stored(t.folds())
+    shares = {name: cf.probabilities(cf.naive_bayes_cv(b, langs, folds, boolean), ["fold", "instance_id"]) for name, boolean in (("multinomial", False), ("boolean", True))}
+    stacked = t.stored(mt.stacked_features(shares))
+    return gold_counts(t, ev.highest(cf.naive_bayes_cv(stacked, langs, folds), ["fold", "instance_id"]))
 
 
 @q("mt_feature_stacking", f"WITH {nb_sql()} SELECT instance_id, 'nb:' || label AS feature, round(score, 4) AS value FROM nb")

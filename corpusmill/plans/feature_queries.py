@@ -97,10 +97,10 @@ def _(t):
     return fm.most_common(t.words().groupBy(F.col("feature").alias("key")).agg(F.sum("value").alias("n")), 20)
 
 
-@q("fm_invert", f"WITH {W}, x AS (SELECT DISTINCT doc_id, unnest(w) AS value FROM w) SELECT value, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM x GROUP BY 1")
+@q("fm_invert", f"WITH {W}, x AS (SELECT DISTINCT doc_id, unnest(w) AS value FROM w), y AS (SELECT *, CAST((row_number() OVER (PARTITION BY value ORDER BY doc_id) - 1) // 100000 AS INTEGER) AS part FROM x) SELECT value, part, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM y GROUP BY 1, 2")
 def _(t):
     inverted = fm.invert(t.documents.select("doc_id", tx.bow(COLUMN).alias("w")), "doc_id", "w")
-    return inverted.select("value", F.size("keys").cast("long").alias("n"), F.md5(F.array_join(F.transform("keys", lambda x: x.cast("string")), ",")).alias("digest"))
+    return inverted.select("value", "part", F.size("keys").cast("long").alias("n"), F.md5(F.array_join(F.transform("keys", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @q("fm_stats", f"WITH {FW}, ft AS (SELECT sum(value) AS t FROM f GROUP BY feature), dt AS (SELECT coalesce(sum(value), 0) AS t FROM documents LEFT JOIN f ON doc_id = instance_id GROUP BY doc_id) SELECT (SELECT count(*) FROM ft) AS n_features, round((SELECT avg(t) FROM ft), 6) AS feature_mean, round((SELECT stddev_pop(t) FROM ft), 4) AS feature_std, (SELECT count(*) FROM dt) AS n_docs, round((SELECT avg(t) FROM dt), 6) AS doc_mean, round((SELECT stddev_pop(t) FROM dt), 4) AS doc_std, (SELECT count(*) FROM f) AS n_nonzero")

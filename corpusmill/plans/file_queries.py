@@ -17,7 +17,8 @@ from ..operators import weights as wt
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..streaming import online
-from .base import FB, FW, LANG, ML, q
+from .base import FB, FW, LANG, ML, TT, folds_sql, q
+from .classifier_queries import best_sql, nb_cte, nodes_sql
 
 
 
@@ -287,9 +288,9 @@ def _(t):
 
 @q("clf_ann")
 def _(t):
-    """Nearest neighbours of every hundredth vector among the others."""
+    """The nearest other vector of every hundredth one, among all."""
     rows = ml.dense(t.embeddings).select("vec_id", "features")
-    return ml.approximate_nearest(rows.where("vec_id % 100 <> 0"), rows.where("vec_id % 100 = 0"), "vec_id", threshold=20.0)
+    return ml.approximate_nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", threshold=20.0)
 
 
 # ---- experiments and online scoring
@@ -301,13 +302,16 @@ def model_of(t):
     return cf.nb_model(b, t.langs().join(split, "instance_id", "left_semi"))
 
 
-@q("on_classify_batch")
+ONLINE = f"{FB}, {TT}, {LANG}, tr AS (SELECT b.* FROM b JOIN tt USING (instance_id) WHERE role = 'train'), cmt AS (SELECT cm.* FROM cm JOIN tt USING (instance_id) WHERE role = 'train'), at0 AS (SELECT doc_id AS instance_id, 'all' AS node FROM documents), {nodes_sql([('all', x, x) for x in ('de', 'en', 'es', 'fr')], 'na_', classes='cmt', test='b')}, found AS (SELECT instance_id, branch AS label FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(score, 9) DESC, branch) AS rn FROM na_nb) WHERE rn = 1)"
+
+
+@q("on_classify_batch", f"WITH {ONLINE} SELECT lang AS gold, label, count(*) AS n FROM found JOIN documents ON doc_id = instance_id GROUP BY ALL", once=True)
 def _(t):
     found = online.classify_texts(model_of(t), t.documents, tx.byte_ngrams(F.col("text"), 2))
     return found.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
 
 
-@q("on_stream")
+@q("on_stream", f"WITH {ONLINE} SELECT label, count(*) AS n FROM found GROUP BY 1", once=True)
 def _(t):
     """All documents as a stream of files, scored with a stored model."""
     path = t.scratch()
@@ -318,7 +322,7 @@ def _(t):
     return t.spark.read.parquet(f"{path}/out").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@q("ex_run")
+@q("ex_run", f"WITH {FW}, {folds_sql()}, {LANG}, {nb_cte('f')}, {best_sql('nb')} SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE lang = label) AS \"right\", count(*) AS n FROM best JOIN documents ON doc_id = instance_id GROUP BY 1", once=True)
 def _(t):
     """Ten folds in one job: correct predictions by fold."""
     folds = t.folds()
@@ -326,14 +330,21 @@ def _(t):
     return best.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("fold").agg(F.count(F.when(F.col("gold") == F.col("label"), 1)).alias("right"), F.count("*").alias("n"))
 
 
-@q("ex_grid")
+def grid_sql() -> str:
+    cells = [(space, learner, f"{space}_{learner}_") for space in ("word", "byte2") for learner in ("multinomial", "boolean")]
+    ctes = ", ".join(f"{nb_cte('f' if space == 'word' else 'b', '1' if learner == 'boolean' else 'value', x)}, {best_sql(x + 'nb', x + 'best')}" for space, learner, x in cells)
+    rows = " UNION ALL ".join(f"SELECT '{space}' AS space, '{learner}' AS learner, round(avg((lang = label)::INT), 9) AS accuracy FROM {x}best JOIN documents ON doc_id = instance_id" for space, learner, x in cells)
+    return f"WITH {FW}, {FB}, {folds_sql(5)}, {LANG}, {ctes} {rows}"
+
+
+@q("ex_grid", grid_sql(), once=True)
 def _(t):
     """Feature space x learner into one table of accuracies; a small list of experiments is looped over on the driver."""
     folds, langs, out = t.folds(5), t.langs(), None
     for space, features in (("word", t.stored(t.words())), ("byte2", t.stored(t.bigrams()))):
         for boolean in (False, True):
             best = ev.highest(cf.naive_bayes_cv(features, langs, folds, boolean), ["fold", "instance_id"])
-            row = best.join(langs.withColumnRenamed("label", "gold"), "instance_id").agg(F.avg((F.col("gold") == F.col("label")).cast("double")).alias("accuracy"))
+            row = best.join(langs.withColumnRenamed("label", "gold"), "instance_id").agg(F.round(F.avg((F.col("gold") == F.col("label")).cast("double")), 9).alias("accuracy"))
             row = row.select(F.lit(space).alias("space"), F.lit("boolean" if boolean else "multinomial").alias("learner"), "accuracy")
             out = row if out is None else out.unionByName(row)
     return out
