@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,12 +13,15 @@ from corpusmill.operators import classes as cl
 from corpusmill.operators import classify as cf
 from corpusmill.operators import evaluate as ev
 from corpusmill.operators import features as fm
+from corpusmill.operators import learners as ml
 from corpusmill.operators import meta as mt
 from corpusmill.operators import metadata as md
 from corpusmill.operators import prototypes as pr
 from corpusmill.operators import sequences as sq
 from corpusmill.operators import splits as sp
 from corpusmill.operators import weights as wt
+from corpusmill.operators.ranking import row_numbers
+from tests.conftest import SMALL
 
 
 def column(spark, text, expr):
@@ -178,6 +182,7 @@ def test_mcnemar_and_randomisation(spark):
     assert rows[0].p is None and 0.04 < rows[1].p < 0.08
 
 
+# A published table of raters.
 def test_fleiss_table(spark):
     table = ["0 0 0 0 14", "0 2 6 4 2", "0 0 3 5 6", "0 3 9 2 0", "2 2 8 1 1", "7 7 0 0 0", "3 2 6 3 0", "2 5 3 2 2", "6 5 2 1 0", "0 2 2 3 7"]
     rows = [(s, c, int(n)) for s, line in enumerate(table) for c, n in enumerate(line.split())]
@@ -223,3 +228,36 @@ def test_metadata(spark):
         md.find_one(meta, {"a": "3"})
     src = spark.createDataFrame([("r3", {"a": "1", "date": "y"}), ("r4", {"a": "9"})], "result_id string, meta map<string,string>")
     assert {r.result_id for r in md.merge(meta, src).collect()} == {"r1", "r2", "r4"}
+
+
+def test_row_numbers_over_many_ranges(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", (i * 7919) % 101, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(11)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.v, r.i): r.rn for r in row_numbers(df, [F.desc("v"), F.col("i")], ["g"]).collect()}
+        whole = [r.i for r in row_numbers(df, [F.col("v"), F.col("i")]).orderBy("rn").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for g in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert all(got[r] == k + 1 for k, r in enumerate(order))
+    assert whole == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+
+
+def test_class_tree_routes_by_node(spark):
+    texts = {1: ("a", "x x p"), 2: ("b", "x x q"), 3: ("c", "y y p"), 4: ("d", "y y q"), 11: ("a", "x p p"), 12: ("d", "y q q")}
+    cells = lambda ids: spark.createDataFrame([(i, w, t.split().count(w)) for i, (_, t) in texts.items() if i in ids for w in set(t.split())], "instance_id int, feature string, value int")
+    labels = spark.createDataFrame([(i, c) for i, (c, _) in texts.items() if i < 10], "instance_id int, label string")
+    got = cf.class_tree(cells(range(10)), labels, cells((11, 12)), {"left": ["a", "b"], "right": ["c", "d"]}).collect()
+    assert {(r.instance_id, r.node) for r in got} == {(11, "root"), (11, "left"), (11, "a"), (12, "root"), (12, "right"), (12, "d")}
+
+
+def test_approximate_neighbours_recall(spark):
+    rows = ml.dense(spark.read.parquet(f"{SMALL}/embeddings.parquet")).select("vec_id", "features", "embedding")
+    vectors = {r.vec_id: np.array(r.embedding) for r in rows.collect()}
+    queries = [i for i in vectors if i % 10 == 0]
+    got = {r.test: r.train for r in ml.approximate_nearest(rows.select("vec_id", "features"), rows.where("vec_id % 10 = 0").select("vec_id", "features"), "vec_id", threshold=20.0).collect()}
+    best = {i: min((j for j in vectors if j != i), key=lambda j: (np.linalg.norm(vectors[i] - vectors[j]), j)) for i in queries}
+    assert sum(got.get(i) == best[i] for i in queries) >= 0.9 * len(queries)
