@@ -624,3 +624,36 @@ def test_near_dedup_of_rows_that_share_a_doc_id(spark):
     kept = cp.near_dedup(spark, spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], kind), SMALL)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, t), (3, t), (5, u), (7, v), (7, w)])
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns that have an operator's own names."""
+    import corpus_pipeline as cp
+
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").limit(2).collect()]
+    good = documents(spark).orderBy("doc_id").limit(40).collect()
+    kind = "doc_id long, text string, lang string, source string, n_chars long, size int, positions string, n_words int, kept string, taken string, _m string, _gone string"
+    texts = [(r.doc_id, r.text) for r in good] + [(None, items[0]), (900, items[1]), (900, good[0].text + " more"), (901, None), (902, ""), (903, LONG), (None, None)]
+    rows = [(i, t, "en", s, 3, 99, "mine", 7777, "orig", "t", "m", "g") for k, (i, t) in enumerate(texts) for s in ((None, "a", "b")[k % 3],)]
+    rows += rows[3:5]
+    docs = spark.createDataFrame(rows, kind)
+    own = [(99, "mine", 7777, "orig", "t", "m", "g")]
+
+    def carried(df):
+        assert df.columns == docs.columns
+        out = df.collect()
+        assert not out or {(r.size, r.positions, r.n_words, r.kept, r.taken, r._m, r._gone) for r in out} == set(own)
+        return out
+
+    verdicts = op8_quality.assess(docs.select(F.monotonically_increasing_id().alias("k"), "text")).where("kept").count()
+    assert len(carried(cp.quality(spark, docs, SMALL))) == verdicts > 0
+    clean = carried(cp.decontaminate(spark, docs, SMALL))
+    left = [r.text for r in clean]
+    assert items[0] not in left and items[1] not in left and left.count(None) == 2 and left.count("") == 1 and LONG in left
+    assert good[0].text + " more" in left or good[0].text not in left  # a row of a contaminated doc_id is judged for itself
+    mixed = carried(cp.mix_sources(spark, docs, SMALL))
+    plan = op3_mixing.mix(docs.select("doc_id", "source", "text"), op3_mixing.weights(), op3_mixing.slopes()).collect()
+    assert len(mixed) == sum(r.passes for r in plan) and all(r.text for r in mixed)
+    placed = cp.shard(spark, docs, SMALL).collect()
+    assert len(placed) == len(rows) and len({r.shard for r in placed if r.doc_id is None}) == 1
+    assert len(cp.near_dedup(spark, docs, SMALL).collect()) <= len(rows)
