@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+from ..shared import stored as cut  # noqa: F401
+
 #: Separators of words: space and \t \n \x0B \f \r.  A word is a maximal run of anything else.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 ASCII_SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -27,32 +27,6 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session names it in spark.checkpoint.dir; only where that is unset (tests on one machine)
-    a temporary folder is taken.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Materialise a table as Parquet in the shared folder and read it back.
-
-    Lost executors cost nothing: the files outlive them, and later plans start from the files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star.
 
