@@ -32,7 +32,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: costs of edits, and what a truncated row costs that isn't deleted
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: rows of a conversation that are searched together
-BLOCK = 128
+BLOCK = 16
 #: solved role sequences that a task remembers
 REMEMBERED = 1 << 16
 OUT_BYTES = 4 << 20
