@@ -11,6 +11,7 @@ from ..operators import classify as cf
 from ..operators import evaluate as ev
 from ..operators import features as fm
 from ..operators import meta as mt
+from ..operators import neighbours as nb
 from ..operators import prototypes as pr
 from ..operators import weights as wt
 from .base import FB, FW, LANG, ML, TT, folds_sql, q
@@ -122,9 +123,9 @@ def search(t):
     return w.withColumnRenamed("instance_id", "train_id"), w.where("instance_id % 100 = 0")
 
 
-def knn(t, distance, furthest):
+def knn(t, kind, furthest):
     train, queries = search(t)
-    best = pr.nearest(distance(train, queries)).select("instance_id", "train_id", "dist")
+    best = nb.Search(train, queries, kind).nearest().select("instance_id", "train_id", "dist")
     best = pr.with_strangers(best, queries, train.select("train_id").distinct(), furthest)
     return best.join(t.langs().withColumnRenamed("instance_id", "train_id"), "train_id").select("instance_id", "train_id", "label", R("dist"))
 
@@ -137,18 +138,20 @@ FIRST = "nn AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY r
 
 @q("nn_one", f"WITH {NEIGHBOUR}, {FIRST} SELECT nn.instance_id, train_id, label, round(dist, 6) + 0.0::DOUBLE AS dist FROM nn JOIN cm ON cm.instance_id = train_id WHERE rn = 1")
 def _(t):
-    return knn(t, pr.cosine, 1.0)
+    return knn(t, "cosine", 1.0)
 
 
 @q("nn_class_dist", f"WITH {NEIGHBOUR} SELECT dist.instance_id, label, round(min(dist), 6) + 0.0::DOUBLE AS dist FROM dist JOIN cm ON cm.instance_id = train_id GROUP BY ALL")
 def _(t):
     train, queries = search(t)
-    return pr.class_distance(pr.cosine(train, queries), t.langs(), queries).select("instance_id", "label", R("dist"))
+    groups = t.langs().select(F.col("instance_id").alias("train_id"), F.col("label").alias("group"))
+    near = nb.Search(train, queries, "cosine", groups).nearest()
+    return pr.class_distance(near.select("instance_id", "train_id", "dist"), t.langs(), queries).select("instance_id", "label", R("dist"))
 
 
 @q("clf_knn", f"WITH {SKEWED}, {FIRST} SELECT nn.instance_id, train_id, label, round(dist, 6) + 0.0::DOUBLE AS dist FROM nn JOIN cm ON cm.instance_id = train_id WHERE rn = 1")
 def _(t):
-    return knn(t, pr.skew, math.log(100))
+    return knn(t, "skew", math.log(100))
 
 
 def gram_sql(n: int) -> str:
