@@ -59,11 +59,14 @@ def _(t):
     return counted(decoded(texts.join(maps["class"], "instance_id")).withColumn("label", F.replace("label", F.lit("lang="), F.lit(""))))
 
 
-@q("src_file_per_class", LINES)
+@q("src_file_per_class", f"SELECT lang || '-' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS instance_id, lang AS label, md5({FLAT}) AS digest FROM documents QUALIFY {FLAT} <> ''")
 def _(t):
+    """A folder of text files for each class, lines in order of doc_id over its parts."""
     path = t.scratch()
-    t.documents.select("lang", one_line().alias("value")).write.partitionBy("lang").option("compression", "gzip").text(path)
-    return counted(rd.read_lines_by_class(t.spark, path).withColumn("label", F.replace("label", F.lit("lang="), F.lit(""))))
+    wr.write_sorted(t.documents.select("lang", "doc_id", one_line().alias("value")), path, ["lang", "doc_id"], ["lang"])
+    found = rd.read_lines_by_class(t.spark, path, folders=True)
+    plain = lambda c: F.replace(c, F.lit("lang="), F.lit(""))
+    return found.select(plain("instance_id").alias("instance_id"), plain("label").alias("label"), F.md5("text").alias("digest"))
 
 
 @q("src_domain_category", f"SELECT source || '-' || lang AS label, count(*) AS n, CAST(sum(strlen({FLAT})) AS BIGINT) AS n_bytes FROM documents WHERE {FLAT} <> '' GROUP BY 1")
@@ -99,15 +102,16 @@ def _(t):
     return archives.mapInPandas(unpack, "label string, size long").groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
 
 
-@q("src_jsonl", f"WITH {ML}, x AS (SELECT DISTINCT doc_id FROM labels) SELECT label, count(*) AS n FROM ml GROUP BY 1")
+@q("src_jsonl", f"WITH {ML}, n AS (SELECT doc_id, text, 'lines.jsonl-' || (row_number() OVER (ORDER BY doc_id) - 1) AS instance_id FROM documents SEMI JOIN ml ON ml.instance_id = doc_id) SELECT n.instance_id, label, md5(text) AS digest FROM n JOIN ml ON ml.instance_id = doc_id")
 def _(t):
-    path = t.scratch()
+    path = f"{t.scratch()}/lines.jsonl"
     labels = t.multilabel().groupBy("instance_id").agg(F.array_sort(F.collect_list("label")).alias("l"))
     rows = t.documents.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("instance_id"))
     one = F.to_json(F.struct("text", F.col("l").alias("class")))
     scalar = F.to_json(F.struct("text", F.get("l", F.lit(0)).alias("class")))
-    rows.select(F.when(F.size("l") == 1, scalar).otherwise(one).alias("value")).write.text(path)
-    return rd.read_jsonl(t.spark, path, "text", "class")[1].groupBy("label").agg(F.count("*").alias("n"))
+    wr.write_sorted(rows.select("doc_id", F.when(F.size("l") == 1, scalar).otherwise(one).alias("value")), path, ["doc_id"])
+    texts, classes = rd.read_jsonl(t.spark, path, "text", "class", folders=True)
+    return texts.join(classes, "instance_id").select("instance_id", "label", F.md5("text").alias("digest"))
 
 
 @q("src_csv_meta", "SELECT lang AS label, source AS part, count(*) AS n FROM documents GROUP BY ALL")
@@ -133,17 +137,19 @@ def _(t):
     return rd.read_paths(t.spark.read.text(path)).groupBy("domain", "lang").agg(F.count("*").alias("n"))
 
 
-@q("src_tagged_records", f"WITH {ML} SELECT coalesce(label, '-') AS label, CASE WHEN l.doc_id % 3 = 0 THEN 'test' WHEN l.doc_id % 3 = 1 THEN 'train' ELSE '-' END AS role, count(*) AS n FROM labels l LEFT JOIN ml ON ml.instance_id = l.doc_id GROUP BY ALL")
+@q("src_tagged_records", f"WITH {ML} SELECT CAST(doc_id AS VARCHAR) AS instance_id, coalesce(label, '-') AS label, CASE WHEN doc_id % 3 = 0 THEN 'test' WHEN doc_id % 3 = 1 THEN 'train' ELSE '-' END AS role, md5(translate(coalesce(text, ''), '<>', '  ')) AS digest FROM documents LEFT JOIN ml ON ml.instance_id = doc_id")
 def _(t):
+    """Records of many lines, in files that are read in parts."""
     path = t.scratch()
     labels = t.multilabel().groupBy("instance_id").agg(F.collect_list("label").alias("l"))
-    rows = t.labels.select("doc_id").join(labels, F.col("doc_id") == F.col("instance_id"), "left").join(t.documents.select("doc_id", F.regexp_replace("text", "[<>]", " ").alias("text")), "doc_id")
+    rows = t.documents.select("doc_id", F.translate(F.coalesce("text", F.lit("")), "<>", "  ").alias("text")).join(labels, F.col("doc_id") == F.col("instance_id"), "left")
     topics = F.concat(F.lit("<TOPICS>"), F.coalesce(F.array_join(F.transform("l", lambda x: F.concat(F.lit("<D>"), x, F.lit("</D>"))), ""), F.lit("")), F.lit("</TOPICS>"))
     part = F.when(F.col("doc_id") % 3 == 0, "TEST").when(F.col("doc_id") % 3 == 1, "TRAIN").otherwise("NOT-USED")
-    rows.select(F.concat(F.lit('<REUTERS newid="'), F.col("doc_id").cast("string"), F.lit('" lewissplit="'), part, F.lit('">'), topics, F.lit("<TEXT>"), "text", F.lit("</TEXT></REUTERS>"))).write.text(path)
-    texts, classes, split = rd.read_tagged(t.spark.read.text(path, wholetext=True))
-    both = texts.select("instance_id").join(classes, "instance_id", "left").join(split, "instance_id", "left")
-    return both.groupBy(F.coalesce("label", F.lit("-")).alias("label"), F.coalesce("role", F.lit("-")).alias("role")).agg(F.count("*").alias("n"))
+    value = F.concat(F.lit('<REUTERS newid="'), F.col("doc_id").cast("string"), F.lit('" lewissplit="'), part, F.lit('">\n'), topics, F.lit("\n<TEXT>"), "text", F.lit("</TEXT>\n</REUTERS>"))
+    rows.select(value.alias("value")).write.text(path)
+    texts, classes, split = rd.read_tagged(t.spark, path)
+    both = texts.join(classes, "instance_id", "left").join(split, "instance_id", "left")
+    return both.select("instance_id", F.coalesce("label", F.lit("-")).alias("label"), F.coalesce("role", F.lit("-")).alias("role"), F.md5("text").alias("digest"))
 
 
 @q("src_xml_index", "SELECT lang AS label, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1")
@@ -172,41 +178,90 @@ def _(t):
 
 
 def spaces(t):
-    w = t.words()
-    return w, fm.index_features(w), fm.index_features(t.langs().select(F.col("label").alias("feature"))).select(F.col("feature").alias("label"), "idx")
+    w = t.stored(t.words())
+    return w, t.stored(fm.index_features(w)), fm.index_features(t.langs().select(F.col("label").alias("feature"))).select(F.col("feature").alias("label"), "idx")
 
 
 SPACE = f"{FW}, s AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM f)), c AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT lang AS label FROM documents))"
+#: what a line's cells sum to, as read back
+SUMS = "totals AS (SELECT instance_id, count(*) AS n, CAST(sum(value) AS DOUBLE) AS total, CAST(sum(idx * value) AS DOUBLE) AS places FROM f JOIN s USING (feature) GROUP BY 1)"
+OF_LINE = "coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(places, 0) AS places"
+ROW = "CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS line"
 
 
 def cell_rows(sep: str, base: int, between: str = " ") -> str:
     return f"cells AS (SELECT instance_id, string_agg((idx + {base}) || '{sep}' || value, '{between}' ORDER BY idx) AS cells FROM f JOIN s USING (feature) GROUP BY 1)"
 
 
-@q("snk_libsvm", f"WITH {SPACE}, {cell_rows(':', 1)} SELECT doc_id AS instance_id, md5(rtrim(c.idx || ' ' || coalesce(cells, ''))) AS digest FROM documents JOIN c ON label = lang LEFT JOIN cells ON instance_id = doc_id")
+def sums_of_cells():
+    total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["value"])
+    places = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["idx"] * c["value"])
+    return [F.size("cells").cast("long").alias("n"), total.alias("total"), places.alias("places")]
+
+
+@q("snk_libsvm", f"WITH {SPACE}, {ML}, {cell_rows(':', 1)}, {SUMS}, mc AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM ml)), l AS (SELECT instance_id, string_agg(idx, ',' ORDER BY idx) AS l FROM ml JOIN mc USING (label) GROUP BY 1) SELECT {ROW}, coalesce(l, '-1') AS labels, {OF_LINE}, md5(rtrim(coalesce(l, '-1') || ' ' || coalesce(cells, ''))) AS digest FROM documents LEFT JOIN cells c ON c.instance_id = doc_id LEFT JOIN totals t ON t.instance_id = doc_id LEFT JOIN l ON l.instance_id = doc_id")
+def _(t):
+    """Several labels and none, written by ranges of instances, read back and parsed."""
+    path = t.scratch()
+    w, space, _c = spaces(t)
+    classes = fm.index_features(t.multilabel().select(F.col("label").alias("feature"))).select(F.col("feature").alias("label"), "idx")
+    wr.write_sorted(wr.libsvm_rows(t.instances(), w, space, t.multilabel(), classes), path, ["instance_id"])
+    lines = rd.sorted_lines(t.spark, path)
+    found = rd.read_libsvm(lines).join(lines.select("line", F.md5("value").alias("digest")), "line")
+    labels = F.when(F.size("labels") == 0, "-1").otherwise(F.array_join(F.transform("labels", lambda x: x.cast("string")), ","))
+    return found.select("line", labels.alias("labels"), *sums_of_cells(), "digest")
+
+
+@q("snk_vw", f"WITH {SPACE}, {cell_rows(':', 0)}, {SUMS} SELECT {ROW}, k.idx AS label, {OF_LINE}, md5(rtrim((k.idx + 1) || ' | ' || coalesce(cells, ''))) AS digest FROM documents JOIN c k ON label = lang LEFT JOIN cells c ON c.instance_id = doc_id LEFT JOIN totals t ON t.instance_id = doc_id")
 def _(t):
     path = t.scratch()
     w, space, classes = spaces(t)
-    wr.libsvm_rows(t.instances(), w, space, t.langs(), classes).write.parquet(path)
-    return t.spark.read.parquet(path).select("instance_id", F.md5("value").alias("digest"))
+    wr.write_sorted(wr.vw_rows(t.instances(), w, space, t.langs(), classes), path, ["instance_id"])
+    lines = rd.sorted_lines(t.spark, path)
+    found = rd.read_vw(lines).join(lines.select("line", F.md5("value").alias("digest")), "line")
+    return found.select("line", "label", *sums_of_cells(), "digest")
+
+
+QUOTED = "chr(39) || replace(replace(feature, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39)"
 
 
-@q("snk_vw", f"WITH {SPACE}, {cell_rows(':', 0)} SELECT doc_id AS instance_id, md5(rtrim((c.idx + 1) || ' | ' || coalesce(cells, ''))) AS digest FROM documents JOIN c ON label = lang LEFT JOIN cells ON instance_id = doc_id")
+def arff_sql(data: str) -> str:
+    """Every line of the file, numbered, by digest."""
+    head = f"SELECT 0 AS section, -3 AS i, '@RELATION ' || chr(39) || 'corpus' || chr(39) AS value UNION ALL SELECT 0, -2, '' UNION ALL SELECT 0, -1, '@ATTRIBUTE class {{' || string_agg(label, ',' ORDER BY label) || '}}' FROM c UNION ALL SELECT 0, idx, '@ATTRIBUTE ' || {QUOTED} || ' NUMERIC' FROM s UNION ALL SELECT 1, 0, '' UNION ALL SELECT 1, 1, '@DATA'"
+    return f"SELECT CAST(row_number() OVER (ORDER BY section, i) - 1 AS BIGINT) AS line, md5(value) AS digest FROM ({head} UNION ALL {data})"
+
+
+@q("snk_arff", f"WITH {SPACE}, {cell_rows(' ', 1, ', ')} " + arff_sql("SELECT 2, doc_id, '{0 ' || lang || coalesce(', ' || cells, '') || '}' FROM documents LEFT JOIN cells ON instance_id = doc_id"))
 def _(t):
+    """All lines of the file, header first; word counts are sparse."""
+    path = t.scratch()
     w, space, classes = spaces(t)
-    return wr.vw_rows(t.instances(), w, space, t.langs(), classes).select("instance_id", F.md5("value").alias("digest"))
+    wr.write_arff(t.instances(), w, space, t.langs(), classes, path)
+    return rd.sorted_lines(t.spark, path).select("line", F.md5("value").alias("digest"))
 
 
-@q("snk_arff", f"WITH {SPACE}, {cell_rows(' ', 1, ', ')} SELECT doc_id AS instance_id, md5('{{0 ' || lang || coalesce(', ' || cells, '') || '}}') AS digest FROM documents LEFT JOIN cells ON instance_id = doc_id")
+DENSE_CELLS = "e AS (SELECT vec_id, 'd' || lpad(CAST(i AS VARCHAR), 4, '0') AS feature, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS value FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)), s AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM e WHERE value <> 0)), c AS (SELECT DISTINCT 'l' || label AS label FROM embeddings)"
+
+
+@q("snk_arff_dense", f"WITH {DENSE_CELLS}, cells AS (SELECT vec_id, string_agg(value, ',' ORDER BY idx) AS cells FROM e JOIN s USING (feature) GROUP BY 1) " + arff_sql("SELECT 2, vec_id, 'l' || label || coalesce(',' || cells, '') FROM embeddings LEFT JOIN cells USING (vec_id)"))
 def _(t):
-    w, space, _c = spaces(t)
-    return wr.arff_rows(t.instances(), w, space, t.langs()).select("instance_id", F.md5("value").alias("digest"))
+    """Embeddings as whole numbers: dense rows, since more than a tenth of the cells aren't zero."""
+    path = t.scratch()
+    rows = t.embeddings.select(F.col("vec_id").alias("instance_id"), F.posexplode("embedding").alias("i", "x"))
+    name = F.concat(F.lit("d"), F.lpad((F.col("i") + 1).cast("string"), 4, "0"))
+    cells = t.stored(rows.select("instance_id", name.alias("feature"), F.floor(64 * F.col("x").cast("double")).cast("long").alias("value")).where("value <> 0"))
+    labels = t.embeddings.select(F.col("vec_id").alias("instance_id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("label"))
+    wr.write_arff(labels.select("instance_id"), cells, fm.index_features(cells), labels, labels.select("label").distinct(), path)
+    return rd.sorted_lines(t.spark, path).select("line", F.md5("value").alias("digest"))
 
 
-@q("snk_arff_header", f"WITH {SPACE} SELECT 0 AS line, '@attribute __class {{' || string_agg(label, ',' ORDER BY label) || '}}' AS value FROM c UNION ALL SELECT idx + 1, '@attribute f' || idx || ' numeric' FROM s")
+@q("snk_arff_header", f"WITH {SPACE} SELECT idx, feature AS name FROM s")
 def _(t):
-    _w, space, classes = spaces(t)
-    return wr.arff_header(space, classes)
+    """The attributes as read back from a whole file."""
+    path = t.scratch()
+    w, space, classes = spaces(t)
+    wr.write_arff(t.instances(), w, space, t.langs(), classes, path)
+    return rd.read_arff(rd.sorted_lines(t.spark, path))[0]
 
 
 @q("snk_density", f"WITH {FW} SELECT round(count(*) / ((SELECT count(*) FROM documents) * count(DISTINCT feature)), 9) AS density FROM f")
@@ -214,16 +269,22 @@ def _(t):
     return wr.density(t.instances(), t.words()).select(F.round("density", 9).alias("density"))
 
 
-@q("snk_bow_rows", f"WITH {SPACE}, {ML}, cells AS (SELECT instance_id, string_agg('feat' || idx || ' ' || value, ' ' ORDER BY idx) AS cells FROM f JOIN s USING (feature) GROUP BY 1) SELECT instance_id, label, md5(instance_id || ' ' || label || '  ' || cells) AS digest FROM cells JOIN ml USING (instance_id)")
+@q("snk_bow_rows", f"WITH {SPACE}, {ML}, cells AS (SELECT instance_id, string_agg('feat' || idx || ' ' || value, ' ' ORDER BY idx) AS cells FROM f JOIN s USING (feature) GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY instance_id, label) - 1 AS BIGINT) AS line, CAST(instance_id AS VARCHAR) AS instance_id, label, md5(instance_id || ' ' || label || '  ' || cells) AS digest FROM cells JOIN ml USING (instance_id)")
 def _(t):
+    path = t.scratch()
     w, space, _c = spaces(t)
-    return wr.bow_rows(w, space, t.multilabel()).select("instance_id", "label", F.md5("value").alias("digest"))
+    wr.write_sorted(wr.bow_rows(w, space, t.multilabel()), path, ["instance_id", "label"])
+    pieces = F.split("value", " ", 3)
+    return rd.sorted_lines(t.spark, path).select("line", F.get(pieces, F.lit(0)).alias("instance_id"), F.get(pieces, F.lit(1)).alias("label"), F.md5("value").alias("digest"))
 
 
-@q("snk_sequence_rows", "SELECT conv_id AS thread_id, md5(string_agg(turn || ' ' || length(coalesce(text, '')) || ' ' || role, chr(10) ORDER BY turn) || chr(10)) AS digest FROM conversations GROUP BY 1")
+@q("snk_sequence_rows", "WITH x AS (SELECT conv_id, 0 AS ended, turn, turn || ' ' || length(coalesce(text, '')) || ' ' || role AS value FROM conversations UNION ALL SELECT conv_id, 1, max(turn), '' FROM conversations GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY conv_id, ended, turn) - 1 AS BIGINT) AS line, value FROM x")
 def _(t):
+    """Every line as read back; blank lines end threads."""
+    path = t.scratch()
     rows = t.conversations.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("pos"), "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"), "role")
-    return wr.sequence_rows(rows, ["turn", "n"], "role").select("thread_id", F.md5("value").alias("digest"))
+    wr.write_sorted(wr.sequence_rows(rows, ["turn", "n"], "role"), path, ["thread_id", "end", "pos"])
+    return rd.sorted_lines(t.spark, path)
 
 
 @q("snk_summary_csv", "SELECT source, coalesce(CASE WHEN lang <> 'en' THEN lang END, 'UNKNOWN') AS lang, CAST(count(*) AS VARCHAR) AS n FROM documents GROUP BY ALL")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import name_of, numbered_lines
+
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.split("path", "/").alias("p"), "content")
@@ -38,11 +40,13 @@ def read_dir(spark: SparkSession, path: str, layout: str = "single") -> tuple[Da
     raise ValueError(layout)
 
 
-def read_lines_by_class(spark: SparkSession, path: str) -> DataFrame:
-    """(instance_id, label, text): each line of a file, plain or gzipped, is an instance; the file's folder is its class; ids count lines."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.split(F.input_file_name(), "/").alias("p"), "value")
-    lines = rows.select("p", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.where("text <> ''").select(F.concat(part(1), F.lit("-"), F.col("line").cast("string")).alias("instance_id"), part(2).alias("label"), "text")
+def read_lines_by_class(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """(instance_id, label, text): each line of a file, plain or gzipped, is an instance; the file's name is its class, ids are class-line.
+
+    Large plain files are read in parts.  With `folders`, a folder's files are parts of one, and its name is the class.
+    """
+    lines = numbered_lines(spark, path, folders=folders).withColumn("label", F.regexp_replace(name_of(F.col("path")), r"\.gz$", ""))
+    return lines.where("value <> ''").select(F.concat_ws("-", "label", F.col("line").cast("string")).alias("instance_id"), "label", F.col("value").alias("text"))
 
 
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +62,10 @@ def read_tar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "instance_id string, label string, bytes binary")
 
 
-def read_jsonl(spark: SparkSession, path: str, text_key: str, class_key: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, class_map) of JSON lines; the class is a scalar or a list.  Ids: file name and line number."""
-    rows = spark.read.text(path, wholetext=True).select(F.split(F.input_file_name(), "/").alias("p"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
-    rows = rows.select(F.concat(part(1), F.lit("-"), F.col("line").cast("string")).alias("instance_id"), F.get_json_object("value", f"$.{text_key}").alias("text"), F.get_json_object("value", f"$.{class_key}").alias("c"))
+def read_jsonl(spark: SparkSession, path: str, text_key: str, class_key: str, folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts, class_map) of JSON lines; the class is a scalar or a list.  Ids: file name and line number; `folders` as in read_lines_by_class."""
+    rows = numbered_lines(spark, path, folders=folders).where("trim(value) <> ''")
+    rows = rows.select(F.concat_ws("-", name_of(F.col("path")), F.col("line").cast("string")).alias("instance_id"), F.get_json_object("value", f"$.{text_key}").alias("text"), F.get_json_object("value", f"$.{class_key}").alias("c"))
     labels = F.when(F.col("c").startswith("["), F.from_json("c", "array<string>")).when(F.col("c").isNotNull(), F.array("c"))
     return rows.select("instance_id", "text"), rows.select("instance_id", F.explode(labels).alias("label"))
 
@@ -82,9 +86,12 @@ def read_paths(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.split(column, "/").alias("p")).select(part(3).alias("domain"), part(2).alias("lang"), part(1).alias("instance_id"))
 
 
-def read_tagged(documents: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, class_map, split) from SGML: <REUTERS newid= lewissplit=> blocks with <TOPICS><D>..</D></TOPICS> and <TEXT>."""
-    blocks = documents.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<REUTERS.*?</REUTERS>"), 0)).alias("b"))
+def read_tagged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, class_map, split) from SGML: <REUTERS newid= lewissplit=> blocks with <TOPICS><D>..</D></TOPICS> and <TEXT>.
+
+    Blocks have any number of lines; they are read by their closing mark, so a large file is many tasks.
+    """
+    blocks = spark.read.option("recursiveFileLookup", "true").option("lineSep", "</REUTERS>").text(path).select(F.regexp_extract("value", r"(?s)<REUTERS.*", 0).alias("b")).where("b <> ''")
     rows = blocks.select(
         F.regexp_extract("b", r'newid="([^"]*)"', 1).alias("instance_id"), F.regexp_extract("b", r'lewissplit="([^"]*)"', 1).alias("part"),
         F.regexp_extract("b", r"(?s)<TEXT[^>]*>(.*?)</TEXT>", 1).alias("text"),
@@ -119,3 +126,53 @@ def repeated_words(words: DataFrame, n: int) -> DataFrame:
     rows = words.crossJoin(F.broadcast(reps))  # n rows, a parameter
     number = F.col("i") * n + F.col("j")
     return rows.select(F.lpad(number.cast("string"), 8, "0").alias("instance_id"), F.concat(F.lit("class"), F.col("i").cast("string")).alias("label"), F.expr("repeat(concat(word, ' '), cast(j + 1 as int))").alias("text"))
+
+
+def sorted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a folder of text files that are one file in parts."""
+    return numbered_lines(spark, path, folders=True).select("line", "value")
+
+
+def _pairs(text: Column, between: str) -> Column:
+    """Array of (idx, value) from pieces such as `idx:value`."""
+    pieces = F.filter(F.split(text, " "), lambda x: x != "")
+    part = lambda x, k: F.split_part(x, F.lit(between), F.lit(k))
+    return F.transform(pieces, lambda x: F.struct(part(x, 1).cast("long").alias("idx"), part(x, 2).cast("double").alias("value")))
+
+
+def read_libsvm(lines: DataFrame) -> DataFrame:
+    """(line, labels, cells) from lines (line, value) `labels idx+1:val ...`; labels -1 are none, indices count from 0."""
+    label = F.split_part("value", F.lit(" "), F.lit(1))
+    labels = F.when(label == "-1", F.array().cast("array<long>")).otherwise(F.transform(F.split(label, ","), lambda x: x.cast("long")))
+    cells = F.transform(_pairs(F.regexp_replace("value", "^[^ ]*", ""), ":"), lambda c: F.struct((c["idx"] - 1).alias("idx"), c["value"].alias("value")))
+    return lines.select("line", labels.alias("labels"), cells.alias("cells"))
+
+
+def read_vw(lines: DataFrame) -> DataFrame:
+    """(line, label, cells) from lines (line, value) `label | idx:val ...`; label is null for 0, else counts from 0."""
+    label = F.split_part("value", F.lit(" "), F.lit(1)).cast("long")
+    return lines.select("line", F.when(label > 0, label - 1).alias("label"), _pairs(F.regexp_replace("value", r"^[^|]*\|", ""), ":").alias("cells"))
+
+
+def read_arff(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attributes (idx, name), instances (line, label, cells)) from lines (line, value) of an ARFF file, sparse or dense.
+
+    The first attribute is the class; the others count from 0.  Instances count from 0, after @DATA.
+    """
+    text = F.trim("value")
+    start = lines.where(F.upper(text) == "@DATA").agg(F.min("line").alias("start"))  # one row
+    both = lines.crossJoin(F.broadcast(start))
+    named = both.where(F.col("line") < F.col("start")).where(F.upper(text).startswith("@ATTRIBUTE"))
+    rest = F.trim(F.substring(text, F.lit(11), F.length(text)))
+    inside = F.regexp_replace(F.regexp_extract(rest, r"^'((?:[^'\\]|\\.)*)'", 1), r"\\(.)", "$1")
+    name = F.when(rest.startswith("'"), inside).otherwise(F.split_part(rest, F.lit(" "), F.lit(1)))
+    first = named.agg(F.min("line").alias("first"))
+    attributes = named.crossJoin(F.broadcast(first)).where(F.col("line") > F.col("first")).select((F.col("line") - F.col("first") - 1).alias("idx"), name.alias("name"))
+    data = both.where(F.col("line") > F.col("start")).where(~text.startswith("%") & (text != "")).select((F.col("line") - F.col("start") - 1).alias("line"), text.alias("value"))
+    sparse = F.col("value").startswith("{")
+    inner = F.filter(F.split(F.regexp_replace("value", "^[{]|[}]$", ""), ", *"), lambda x: x != "")
+    packed = F.transform(_pairs(F.array_join(F.transform(F.filter(inner, lambda x: ~x.startswith("0 ")), lambda x: F.replace(x, F.lit(" "), F.lit(":"))), " "), ":"), lambda c: F.struct((c["idx"] - 1).alias("idx"), c["value"].alias("value")))
+    pieces = F.split("value", ",")
+    full = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x, i: F.struct(i.cast("long").alias("idx"), x.cast("double").alias("value")))
+    label = F.when(sparse, F.split_part(F.get(inner, F.lit(0)), F.lit(" "), F.lit(2))).otherwise(F.get(pieces, F.lit(0)))
+    return attributes, data.select("line", label.alias("label"), F.when(sparse, packed).otherwise(F.filter(full, lambda c: c["value"] != 0)).alias("cells"))
