@@ -1,15 +1,14 @@
-"""Helpers that need Python: stems, HTML entities, codecs, error function.  All run in Arrow batches."""
+"""Helpers that need Python: stems, HTML entities, codecs.  All run in Arrow batches."""
 
 from __future__ import annotations
 
 import html
-import math
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 VOWELS = "aeiou"
 
@@ -121,15 +120,3 @@ def decode_bytes(frame: DataFrame, data: str, encoding: str, out: str = "text",
         return pd.Series([None if v is None else bytes(v).decode(n or "utf-8", errors) for v, n in zip(values, names)], dtype=object)
 
     return frame.withColumn(out, decode(F.col(data), F.col(encoding)))
-
-
-@F.pandas_udf(DoubleType())
-def chi2_p(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-squared with one degree of freedom."""
-    return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
-
-
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided tail of the normal distribution."""
-    return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stemming import chi2_p
+from ..functions import special as sp
 
 
 def highest(scores: DataFrame, keys: list[str], descending: bool = True) -> DataFrame:
@@ -125,15 +125,27 @@ def discordant(correct_a: DataFrame, correct_b: DataFrame, keys: tuple[str, ...]
     return a.join(b, ["fold", "instance_id", *keys]).groupBy(*keys).agg(F.count(F.when(~F.col("a") & F.col("b"), 1)).alias("n01"), F.count(F.when(F.col("a") & ~F.col("b"), 1)).alias("n10"))
 
 
+def class_discordant(gold: DataFrame, a: DataFrame, b: DataFrame, classes: DataFrame) -> DataFrame:
+    """(label, n01, n10): as `discordant`, an instance being right in a class if the prediction has it as the gold standard does.
+
+    An instance counts where one of the results is wrong, so only the classes that it has anywhere are joined.
+    """
+    marked = [x.select("fold", "instance_id", "label", F.lit(1).alias(n)) for x, n in ((gold, "g"), (a, "a"), (b, "b"))]
+    cells = marked[0].join(marked[1], ["fold", "instance_id", "label"], "full").join(marked[2], ["fold", "instance_id", "label"], "full")
+    right = [F.col("g").isNotNull() == F.col(n).isNotNull() for n in "ab"]
+    counts = cells.groupBy("label").agg(F.count(F.when(~right[0] & right[1], 1)).alias("n01"), F.count(F.when(right[0] & ~right[1], 1)).alias("n10"))
+    return classes.select("label").join(counts, "label", "left").select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n01", "n10")])
+
+
 def mcnemar(counts: DataFrame) -> DataFrame:
-    """counts with the continuity-corrected statistic and its p (one degree of freedom); no discordant instance: null."""
+    """counts with the continuity-corrected statistic and its p (one degree of freedom); no discordant instance: no statistic, and p is 0."""
     d = F.abs(F.col("n01") - F.col("n10")) - 1
     rows = counts.withColumn("statistic", F.when(F.col("n01") + F.col("n10") > 0, (d * d / (F.col("n01") + F.col("n10"))).cast("double")))
-    return rows.withColumn("p", chi2_p("statistic"))
+    return rows.withColumn("p", F.coalesce(sp.chi2_tail(F.col("statistic")), F.lit(0.0)))
 
 
 def randomisation(counts: DataFrame, n: int = 10_000, seed: int = 1) -> DataFrame:
-    """counts with p: how often swapping the discordant instances at random gives a difference at least as large.
+    """counts with p: how often swapping instances at random leaves the better result as good as it is, or better.  Equal results are an error.
 
     Only the number of discordant instances matters, so a trial is one binomial draw.
     """
@@ -141,27 +153,42 @@ def randomisation(counts: DataFrame, n: int = 10_000, seed: int = 1) -> DataFram
     def p_value(n01: pd.Series, n10: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(n01, n10):
-            if a == b:
-                out.append(None)
-                continue
             draws = np.random.default_rng(seed).binomial(a + b, 0.5, n)
-            out.append(float((np.abs(2 * draws - (a + b)) >= abs(a - b)).sum() + 1) / (n + 1))
+            out.append(float((draws >= max(a, b)).sum() + 1) / (n + 1))
         return pd.Series(out, dtype="float64")
 
-    return counts.withColumn("p", p_value("n01", "n10"))
+    unequal = F.when(F.col("n01") != F.col("n10"), F.col("n01")).otherwise(F.raise_error(F.lit("both results are equally good")).cast("long"))
+    return counts.withColumn("n01", unequal).withColumn("p", p_value("n01", "n10"))
+
+
+def exact_randomisation(counts: DataFrame) -> DataFrame:
+    """What `randomisation` comes to with ever more trials: a binomial tail."""
+    a, b = F.col("n01"), F.col("n10")
+    p = F.when(a != b, sp.fair_coin_tail(a + b, F.greatest(a, b))).otherwise(F.raise_error(F.lit("both results are equally good")).cast("double"))
+    return counts.withColumn("p", p)
 
 
 def fleiss(ratings: DataFrame) -> DataFrame:
-    """One row kappa, z from (subject, category, n), zero cells included or not; raters a subject must be equal."""
-    subjects = ratings.groupBy("subject").agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agree"))
-    one = subjects.agg(F.count("*").alias("s"), F.max("m").alias("m"), F.min("m").alias("m0"), F.sum("agree").alias("agree"))
-    shares = ratings.groupBy("category").agg(F.sum("n").alias("c")).crossJoin(one)
-    p = F.col("c") / (F.col("s") * F.col("m"))
-    sums = shares.agg(F.sum(p * p).alias("p2"), F.sum(p * p * p).alias("p3"))
-    rows = one.crossJoin(sums)
-    m, s, p2 = F.col("m"), F.col("s"), F.col("p2")
-    observed = F.col("agree") / (s * m * (m - 1))
-    kappa = (observed - p2) / (1 - p2)
-    variance = 2 / (s * m * (m - 1)) * (p2 - (2 * m - 3) * p2 * p2 + 2 * (m - 2) * F.col("p3")) / ((1 - p2) * (1 - p2))
+    """One row kappa, simple, z, p from (subject, category, n), zero cells included or not; raters a subject must be equal.
+
+    kappa is the mean of the categories' own kappas, weighted by p (1 - p) of each; `simple` compares
+    observed with chance agreement (the two are equal but for rounding).  z is kappa over its standard error.
+    """
+    subjects = ratings.groupBy("subject").agg(F.sum("n").alias("m"))
+    one = subjects.agg(F.count("*").alias("s"), F.max("m").alias("m"), F.min("m").alias("m0"))
+    n = F.col("n")
+    # subjects without a rating in a category add nothing to any sum
+    own = ratings.join(F.broadcast(one), F.lit(True)).groupBy("category", "s", "m", "m0").agg(F.sum("n").alias("c"), F.sum(n * (F.col("m") - n)).alias("apart"), F.sum(n * (n - 1)).alias("agree")).where("c > 0")  # one row is broadcast
+    pairs = F.col("s") * F.col("m") * (F.col("m") - 1)
+    share = F.col("c") / (F.col("s") * F.col("m"))
+    rows = own.select("s", "m", "m0", "agree", share.alias("p"), (share * (1 - share)).alias("b"), F.col("apart"), pairs.alias("pairs"))
+    each = 1 - F.col("apart") / (F.col("pairs") * F.col("b"))
+    sums = rows.agg(
+        F.max("m").alias("m"), F.max("m0").alias("m0"), F.max("pairs").alias("pairs"), F.sum("b").alias("d"), F.sum(F.when(F.col("b") > 0, F.col("b") * each)).alias("k"),
+        F.sum(F.col("b") * (1 - 2 * F.col("p"))).alias("skewed"), F.sum("agree").alias("agree"), F.sum(F.col("p") * F.col("p")).alias("p2"),
+    )
+    d, kappa = F.col("d"), F.col("k") / F.col("d")
+    error = F.sqrt(2 * (d * d - F.col("skewed"))) / (d * F.sqrt("pairs"))
     equal = F.when(F.col("m") == F.col("m0"), kappa).otherwise(F.raise_error(F.lit("subjects have different numbers of raters")).cast("double"))
-    return rows.select(equal.alias("kappa"), (kappa / F.sqrt(variance)).alias("z"))
+    simple = (F.col("agree") / F.col("pairs") - F.col("p2")) / (1 - F.col("p2"))
+    return sums.select(equal.alias("kappa"), simple.alias("simple"), (kappa / error).alias("z")).withColumn("p", sp.normal_two_sided(F.col("z")))

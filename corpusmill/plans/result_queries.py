@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import special
 from ..operators import evaluate as ev
 from ..operators import metadata as md
 from ..operators import sequences as sq
@@ -268,14 +269,28 @@ def discordant(t):
     return ev.discordant(ev.correct(g, predicted(t, "a"), ids), ev.correct(g, predicted(t, "b"), ids))
 
 
-@q("st_discordant", f"WITH {DISC} SELECT *, round(CASE WHEN n01 + n10 > 0 THEN (abs(n01 - n10) - 1) ** 2 / (n01 + n10) END, 6) AS statistic FROM d")
+STAT = "CASE WHEN n01 + n10 > 0 THEN (abs(n01 - n10) - 1) ** 2 / (n01 + n10) END"
+
+
+@q("st_discordant", f"WITH {DISC} SELECT *, round({STAT}, 6) AS statistic FROM d")
 def _(t):
     return ev.mcnemar(discordant(t)).select("n01", "n10", R("statistic"))
 
 
-@q("st_mcnemar")
+def mcnemar_sql(table: str, keys: str = "") -> str:
+    return f"x AS (SELECT *, {STAT} AS statistic FROM {table}), r AS (SELECT *, sqrt(statistic / 2) AS h FROM x) SELECT {keys}n01, n10, round(statistic, 6) AS statistic, round(coalesce({special.erfc_sql('h')}, 0), 9) AS p FROM r"
+
+
+@q("st_mcnemar", f"WITH {DISC}, {mcnemar_sql('d')}")
+def _(t):
+    return ev.mcnemar(discordant(t)).select("n01", "n10", R("statistic"), R("p", 9))
+
+
+@q("st_mcnemar_class", f"WITH {BASE}, j AS (SELECT g.label AS g, pa.label AS a, pb.label AS b FROM g JOIN pa USING (instance_id) JOIN pb USING (instance_id)), dc AS (SELECT label, count(*) FILTER (WHERE (g = label) <> (a = label) AND (g = label) = (b = label)) AS n01, count(*) FILTER (WHERE (g = label) = (a = label) AND (g = label) <> (b = label)) AS n10 FROM j, (SELECT label FROM sp UNION ALL SELECT 'unused') GROUP BY 1), {mcnemar_sql('dc', 'label, ')}")
 def _(t):
-    return ev.mcnemar(discordant(t))
+    """By class; a class that nobody uses has p 0."""
+    classes = t.langs().select("label").distinct().union(t.spark.range(1).select(F.lit("unused")))
+    return ev.mcnemar(ev.class_discordant(gold(t), predicted(t, "a"), predicted(t, "b"), classes)).select("label", "n01", "n10", R("statistic"), R("p", 9))
 
 
 @q("st_randomisation")
@@ -283,11 +298,17 @@ def _(t):
     return ev.randomisation(discordant(t))
 
 
-@q("st_fleiss", """WITH r AS (SELECT lang AS subject, CASE WHEN substr(md5('r|' || doc_id), 1, 1) < '8' THEN 'x' WHEN lang IN ('en', 'de') THEN 'y' ELSE 'z' END AS category, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
-least AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM r GROUP BY subject)), c AS (SELECT subject, category, count(*) AS n FROM r, least WHERE k <= m GROUP BY ALL),
-s AS (SELECT sum(n) AS m, sum(n * (n - 1)) AS agree FROM c GROUP BY subject), o AS (SELECT count(*) AS s, max(m) AS m, sum(agree) AS agree FROM s), p AS (SELECT sum(n) / (max(o.s) * max(o.m)) AS p FROM c, o GROUP BY category),
-t AS (SELECT sum(p * p) AS p2, sum(p * p * p) AS p3 FROM p), k AS (SELECT (agree / (s * m * (m - 1)) - p2) / (1 - p2) AS kappa, 2 / (s * m * (m - 1)) * (p2 - (2 * m - 3) * p2 * p2 + 2 * (m - 2) * p3) / ((1 - p2) * (1 - p2)) AS v FROM o, t)
-SELECT round(kappa, 6) AS kappa, round(kappa / sqrt(v), 4) AS z FROM k""")
+@q("st_randomisation_exact", f"WITH {DISC}, k AS (SELECT n01, n10, n01 + n10 AS n, unnest(generate_series(greatest(n01, n10), n01 + n10)) AS k FROM d) SELECT n01, n10, round(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))), 9) AS p FROM k GROUP BY ALL")
+def _(t):
+    return ev.exact_randomisation(discordant(t)).select("n01", "n10", R("p", 9))
+
+
+@q("st_fleiss", f"""WITH r AS (SELECT lang AS subject, CASE WHEN substr(md5('r|' || doc_id), 1, 1) < '8' THEN 'x' WHEN lang IN ('en', 'de') THEN 'y' ELSE 'z' END AS category, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+least AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM r GROUP BY subject)), c AS (SELECT subject, category, count(*) FILTER (WHERE k <= m) AS n FROM (SELECT * FROM (SELECT DISTINCT subject FROM r), (SELECT DISTINCT category FROM r), least) g LEFT JOIN r USING (subject, category) GROUP BY ALL),
+o AS (SELECT count(DISTINCT subject) AS s, (SELECT m FROM least) AS m FROM c), j AS (SELECT category, sum(n) / (s * m) AS pj, sum(n * (m - n)) AS xs, s * m * (m - 1) AS cc FROM c, o GROUP BY category, s, m), b AS (SELECT *, pj * (1 - pj) AS bj FROM j), kj AS (SELECT *, 1 - xs / (cc * bj) AS kj FROM b),
+k AS (SELECT sum(bj * kj) / sum(bj) AS kappa, sqrt(2 * (sum(bj) ** 2 - sum(bj * (1 - 2 * pj)))) / sum(bj * sqrt(cc)) AS sek FROM kj),
+pi AS (SELECT sum(n * n) AS q FROM c GROUP BY subject), w AS (SELECT (SELECT avg((q - m) / (m * (m - 1))) FROM pi, o) AS pbar, (SELECT sum(pj * pj) FROM j) AS pe), z AS (SELECT kappa, kappa / sek AS z, abs(kappa / sek) / sqrt(2) AS h FROM k)
+SELECT round(kappa, 6) AS kappa, round((pbar - pe) / (1 - pe), 6) AS simple, round(z, 4) AS z, round({special.erfc_sql('h')}, 9) AS p FROM z, w""")
 def _(t):
     """Subjects: languages; raters: as many documents of each as the rarest language has."""
     h = F.substring(F.md5(F.concat(F.lit("r|"), F.col("doc_id").cast("string"))), 1, 1)
@@ -295,7 +316,7 @@ def _(t):
     rows = t.documents.select(F.col("lang").alias("subject"), category.alias("category"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("k"))
     least = rows.groupBy("subject").agg(F.count("*").alias("n")).agg(F.min("n").alias("m"))
     counts = rows.crossJoin(F.broadcast(least)).where("k <= m").groupBy("subject", "category").agg(F.count("*").alias("n"))
-    return ev.fleiss(counts).select(R("kappa"), R("z", 4))
+    return ev.fleiss(counts).select(R("kappa"), R("simple"), R("z", 4), R("p", 9))
 
 
 @q("cmp_results", f"WITH {BASE} SELECT g.label AS gold, pa.label AS pred_a, pb.label AS pred_b, count(*) AS n FROM g JOIN pa USING (instance_id) JOIN pb USING (instance_id) WHERE NOT (g.label = pa.label AND g.label = pb.label) GROUP BY ALL")

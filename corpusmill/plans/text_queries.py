@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import stemming as st
 from ..functions import text as tx
 from .base import BOW, P, W, q, split_sql
@@ -144,6 +145,15 @@ def _(t):
     return rows.groupBy("doc_id", F.col("m.keyword").alias("keyword")).agg(F.count("*").alias("n"), F.sum("m.start").alias("starts"))
 
 
+@q("tok_keyword_many", f"WITH {CHARS}, bw AS (SELECT DISTINCT k, length(k) AS n, left(k, 4) AS h FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), ' ')) AS k FROM benchmark) WHERE length(k) BETWEEN 4 AND 15), s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 3)) AS i FROM w), g AS (SELECT doc_id, i, w, w[i] || w[i + 1] || w[i + 2] || w[i + 3] AS h FROM s), m AS (SELECT doc_id, i, k FROM g JOIN bw USING (h) WHERE array_to_string(w[i : i + n - 1], '') = k) SELECT doc_id, count(*) AS n, count(DISTINCT k) AS n_keywords, CAST(sum(i - 1) AS BIGINT) AS starts FROM m GROUP BY 1")
+def _(t):
+    """Every word of 4 to 15 characters of the benchmark, wherever it stands in a document."""
+    words = t.benchmark.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("k")).where("length(k) BETWEEN 4 AND 15").distinct()
+    # a benchmark is small; the scan refuses a set that isn't
+    found = scan.scan(t.documents, [r.k for r in words.collect()])
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("keyword").alias("n_keywords"), F.sum("start").alias("starts"))
+
+
 @q("tok_map_stream", digest_sql("list_transform(" + BOW + ", lambda t: reverse(t))"))
 def _(t):
     return digest(t, F.transform(tx.bow(COLUMN), F.reverse))

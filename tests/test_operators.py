@@ -1,12 +1,14 @@
 """Hand-computed fixtures and properties of the reference's operators."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import scan, special
 from corpusmill.functions import stemming as st
 from corpusmill.functions import text as tx
 from corpusmill.operators import classes as cl
@@ -174,19 +176,58 @@ def test_confusion_and_undefined_metrics(spark):
     assert macro.n_ignored == 2 and math.isclose(macro.recall, 0.75)
 
 
+def test_tails(spark):
+    values = [0.0, 1e-9, 0.1, 0.5, 1.0, 1.9, 1.9999, 2.0, 2.0001, 3.0, 6.0, 12.0, 26.0]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", special.erfc(F.col("x")).alias("y")).collect()
+    assert all(math.isclose(r.y, math.erfc(r.x), rel_tol=1e-12) for r in got)
+    cases = [(n, k) for n in (1, 2, 7, 40, 900) for k in {n // 2 + 1, (2 * n) // 3 + 1, n} if n / 2 < k <= n]
+    got = spark.createDataFrame(cases, "n int, k int").select("n", "k", special.fair_coin_tail(F.col("n"), F.col("k")).alias("p")).collect()
+    assert all(math.isclose(r.p, float(sum(math.comb(r.n, i) for i in range(r.k, r.n + 1)) / 2**r.n), rel_tol=1e-9) for r in got)
+
+
 def test_mcnemar_and_randomisation(spark):
-    counts = spark.createDataFrame([(0, 0), (5, 0)], "n01 long, n10 long")
+    counts = spark.createDataFrame([(0, 0), (5, 0), (40, 61)], "n01 long, n10 long")
     got = {(r.n01, r.n10): (r.statistic, r.p) for r in ev.mcnemar(counts).collect()}
-    assert got[0, 0] == (None, None) and math.isclose(got[5, 0][0], 3.2)
-    rows = ev.randomisation(counts).collect()
-    assert rows[0].p is None and 0.04 < rows[1].p < 0.08
+    assert got[0, 0] == (None, 0.0) and math.isclose(got[5, 0][0], 3.2) and math.isclose(got[5, 0][1], math.erfc(math.sqrt(1.6)))
+    unequal = counts.where("n01 <> n10")
+    trials, exact = ev.randomisation(unequal).collect(), ev.exact_randomisation(unequal).collect()
+    assert math.isclose(exact[0].p, 1 / 32)
+    for a, b in zip(trials, exact):
+        assert abs(a.p - b.p) < 4 * math.sqrt(b.p / 10_000) + 1e-4
+    for test in (ev.randomisation, ev.exact_randomisation):
+        with pytest.raises(Exception, match="equally good"):
+            test(counts).collect()
+
+
+def test_mcnemar_by_class(spark):
+    schema = "fold int, instance_id int, label string"
+    gold = {1: "ab", 2: "a", 3: "c", 4: "", 5: "b"}
+    one = {1: "a", 2: "a", 3: "b", 4: "c", 5: "b"}
+    two = {1: "ab", 2: "c", 3: "c", 4: "", 5: ""}
+    frames = [spark.createDataFrame([(0, i, c) for i, cs in x.items() for c in cs], schema) for x in (gold, one, two)]
+    got = ev.class_discordant(*frames, spark.createDataFrame([(c,) for c in "abcd"], "label string")).collect()
+    right = lambda x, i, c: (c in x[i]) == (c in gold[i])
+    want = {c: (sum(right(two, i, c) and not right(one, i, c) for i in gold), sum(right(one, i, c) and not right(two, i, c) for i in gold)) for c in "abcd"}
+    assert {r.label: (r.n01, r.n10) for r in got} == want
 
 
 # A published table of raters.
 def test_fleiss_table(spark):
     table = ["0 0 0 0 14", "0 2 6 4 2", "0 0 3 5 6", "0 3 9 2 0", "2 2 8 1 1", "7 7 0 0 0", "3 2 6 3 0", "2 5 3 2 2", "6 5 2 1 0", "0 2 2 3 7"]
     rows = [(s, c, int(n)) for s, line in enumerate(table) for c, n in enumerate(line.split())]
-    assert round(ev.fleiss(spark.createDataFrame(rows, "subject int, category int, n int")).first().kappa, 3) == 0.210
+    got = ev.fleiss(spark.createDataFrame(rows, "subject int, category int, n int")).first()
+    assert round(got.kappa, 3) == round(got.simple, 3) == 0.210
+    # by hand from the definitions
+    x = np.array([[int(n) for n in line.split()] for line in table], float)
+    n, m = 10, 14
+    p = x.sum(axis=0) / (n * m)
+    b, c = p * (1 - p), n * m * (m - 1)
+    error = math.sqrt(2 * (b.sum() ** 2 - (b * (1 - 2 * p)).sum())) / (b * math.sqrt(c)).sum()
+    assert math.isclose(got.z, got.kappa / error, rel_tol=1e-9) and math.isclose(got.p, math.erfc(abs(got.z) / math.sqrt(2)), rel_tol=1e-9)
+    short = [r for r in rows if r[2]]
+    assert math.isclose(ev.fleiss(spark.createDataFrame(short, "subject int, category int, n int")).first().z, got.z)
+    with pytest.raises(Exception, match="different numbers"):
+        ev.fleiss(spark.createDataFrame(rows[1:] + [(0, 0, 3)], "subject int, category int, n int")).collect()
 
 
 def test_sequences(spark):
@@ -261,3 +302,37 @@ def test_approximate_neighbours_recall(spark):
     got = {r.test: r.train for r in ml.approximate_nearest(rows.select("vec_id", "features"), rows.where("vec_id % 10 = 0").select("vec_id", "features"), "vec_id", threshold=20.0).collect()}
     best = {i: min((j for j in vectors if j != i), key=lambda j: (np.linalg.norm(vectors[i] - vectors[j]), j)) for i in queries}
     assert sum(got.get(i) == best[i] for i in queries) >= 0.9 * len(queries)
+
+
+def occurrences(text, keywords):
+    return sorted((i, k) for k in set(keywords) if k for i in range(len(text) - len(k) + 1) if text.startswith(k, i))
+
+
+def test_keyword_automaton(spark, monkeypatch):
+    rng = random.Random(8)
+    alphabet = "abé😀 "
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in [0, 1, 2, 30, 200, 700, 3000] * 3] + [None, "a" * 2000, "ab" * 900]
+    keywords = ["", "a", "aa", "aaa", "ab", "ba", "é", "😀 ", "é😀é", "a" * 150, "never", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 7))) for _ in range(60))]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, keyword string").repartition(3)
+    want = sorted((i, s, k) for i, t in enumerate(texts) for s, k in occurrences(t or "", keywords))
+    for most in (scan.MOST_CELLS, 400):  # one automaton, or many
+        monkeypatch.setattr(scan, "MOST_CELLS", most)
+        assert (len(scan.automata([k.encode() for k in keywords if k])) > 1) == (most == 400)
+        assert sorted(tuple(r) for r in scan.scan(frame, keywords).collect()) == want
+        keywords = keywords[::-1] + ["a"]  # the order doesn't matter, nor do repeats
+    few = [k for k in keywords if k]
+    present = frame.select("doc_id", F.explode(tx.keyword_matches(F.col("text"), few)).alias("m")).select("doc_id", "m.start", "m.keyword")
+    assert sorted(tuple(r) for r in present.collect()) == want
+    assert scan.scan(frame, []).count() == 0 and scan.scan(frame.limit(0), ["a"]).count() == 0
+
+
+def test_fifty_thousand_keywords(spark):
+    rng = random.Random(9)
+    keywords = list({"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 12))) for _ in range(55_000)})
+    assert len(keywords) > 50_000
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(5000)) for _ in range(20)]
+    got = scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keywords).collect()
+    known, want = set(keywords), []
+    for i, t in enumerate(texts):
+        want += [(i, s, t[s : s + n]) for n in range(4, 12) for s in range(len(t) - n + 1) if t[s : s + n] in known]
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
