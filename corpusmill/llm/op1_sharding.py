@@ -72,11 +72,12 @@ def assign_shards(docs: DataFrame, shards: list[str], slots: int = SLOTS, key: s
     """
     spark = docs.sparkSession
     owners = " ".join(map(str, lookup_table(shards, slots)))
-    owner_of = spark.range(1).select(F.posexplode(F.split(F.lit(owners), " ")).alias("_slot", "_owner"))
-    owner_of = owner_of.select("_slot", F.col("_owner").cast("int").alias("_owner"))
+    owner_of = spark.range(1).select(F.posexplode(F.split(F.lit(owners), " ")).alias("slot", "owner"))
+    # rows as one struct, which no column here can clash with
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != out])
+    rows = docs.select(rest.alias("row"), slot_of(docs[key], slots).alias("slot"))
     # proven bound: the table has `slots` rows, a parameter, however many documents there are
-    placed = docs.drop(out).withColumn("_slot", slot_of(docs[key], slots)).join(F.broadcast(owner_of), "_slot")
-    return placed.withColumnRenamed("_owner", out).drop("_slot")
+    return rows.join(F.broadcast(owner_of), "slot").select("row.*", F.col("owner").cast("int").alias(out))
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

@@ -9,11 +9,11 @@ payload digests.
 Records of equal payloads of at least 100 bytes are written once: that with the smallest page
 number is a response, others are revisits of it that keep only their HTTP header.
 
-Payloads are shuffled once, already compressed as WARC records, by page number; which record is a
-revisit is decided on narrow rows (digest, page number) with partial aggregation, so a payload
-that a third of all pages share is no hot spot.  Files go to the folder that the cluster shares
-and are listed in a manifest that is written when the tasks are done: files of lost or repeated
-attempts are never read.
+Archives are written once, to the folder that the cluster shares, and everything after reads these
+files: rows that came in another order would make other identifiers.  Which record is a revisit is
+decided on narrow rows (digest, page number) with partial aggregation, so a payload that a third of
+all pages share is no hot spot, and payloads are never shuffled.  Files are listed in manifests,
+tables that are complete when the tasks are done: files of lost or repeated attempts are never read.
 """
 
 from __future__ import annotations
@@ -66,32 +66,57 @@ def http_block(payload: bytes, page_id: int | None) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
 
 
-def as_archives(pages: DataFrame) -> DataFrame:
-    """(path, content): `pages` (page_id, url, html) as ARC files of about 4 MB, versions 1 and 2 in turn."""
+def as_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write `pages` (page_id, url, html) as ARC files of about 4 MB, gzipped by record, to `folder` (a URI).
+
+    Pages with an even number go to files of version 1, the others to version 2.  Returns the
+    manifest (file), which is stored: files of lost or repeated attempts aren't in it.
+    """
 
     def run(batches):
-        parts, size, version, first = [], 0, 1, None
+        files, base = pyarrow.fs.FileSystem.from_uri(folder)
+        open_ones: dict[int, list] = {}  # by version: name, parts, bytes
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([f"{first}.arc"]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+        def done(version):
+            name, parts, _ = open_ones.pop(version)
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(b"".join(parts))
+            return pa.RecordBatch.from_pydict({"file": [name]})
 
         for batch in batches:
             for page, url, html in zip(*batch.columns):
                 page, url = page.as_py(), url.as_py() or ""
-                if not parts:
-                    first = f"pages-v{version}-{page}"
-                    parts = [version_block(first, version)]
-                    size = len(parts[0])
+                version = 1 + (page or 0) % 2
+                if version not in open_ones:
+                    name = f"{uuid.uuid4().hex}.arc.gz"
+                    head = gzipped(version_block(name, version), 1)
+                    open_ones[version] = [name, [head], len(head)]
+                own = open_ones[version]
                 block = http_block((html.as_py() or "").encode("utf-8", "surrogatepass"), page)
-                parts.append(arc_record(version, url, block, first, size))
-                size += len(parts[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield done()
-                    parts, version = [], 3 - version
-        if parts:
-            yield done()
+                record = gzipped(arc_record(version, url, block, own[0], own[2]), 1)
+                own[1].append(record)
+                own[2] += len(record)
+                if own[2] >= ARCHIVE_BYTES:
+                    yield done(version)
+        for version in sorted(open_ones):
+            yield done(version)
+
+    files, base = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    return cut(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "file string"))
+
+
+def contents(folder: str, names) -> bytes:
+    """Contents of some of a folder's files, one after the other."""
+    files, base = pyarrow.fs.FileSystem.from_uri(folder)
+    for name in names:
+        with files.open_input_stream(f"{base}/{name}", compression=None) as f:
+            yield f.read()
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "path string, content binary")
+
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest over as many tasks as a shuffle has: each reads whole files, so a few bytes here are much work."""
+    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
 
 def members(data) -> bytes:
@@ -177,8 +202,8 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def gzipped(record: bytes) -> bytes:
-    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+def gzipped(record: bytes, level: int = 6) -> bytes:
+    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
     return deflate.compress(record) + deflate.flush()
 
 
@@ -191,82 +216,80 @@ def warc_fields(url: str, ip: str, date: str, kind: str, identifier: str, digest
     ]
 
 
-def convert(archives: DataFrame, full: bool) -> DataFrame:
-    """A row for each record of ARC files (path, content).
+def converted(content: bytes):
+    """(page number or None, digest, payload bytes, record identifier, kind, url, ip, date, header, block) of each record of an ARC file."""
+    for url, ip, date, _, line, block in arc_records(content):
+        head, payload, kind = split_http(url, block)
+        page = http_field(head, "X-Page-Id")
+        yield int(page) if page else None, hashlib.sha256(payload).hexdigest(), len(payload), record_id(line, block), kind, url, ip, date, head, block
 
-    page_id (from its HTTP header, else null), digest, n (payload bytes), record_id and kind; with
-    `full` also url, ip, date, head (HTTP header) and record (the gzipped WARC record).
-    """
+
+def parsed(folder: str, manifest: DataFrame) -> DataFrame:
+    """(file, number, page_id, digest, n, record_id, kind): a narrow row for each record of the ARC files that a manifest lists."""
+    names = ["file", "number", "page_id", "digest", "n", "record_id", "kind"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
-                for url, ip, date, _, line, block in arc_records(content.as_py()):
-                    head, payload, kind = split_http(url, block)
-                    digest, page = hashlib.sha256(payload).hexdigest(), http_field(head, "X-Page-Id")
-                    rows.append([int(page) if page else None, digest, len(payload), record_id(line, block), kind])
-                    if full:
-                        rows[-1] += [url, ip, date, head, gzipped(warc_record(warc_fields(url, ip, date, kind, rows[-1][3], digest, block), block))]
-                        held += len(rows[-1][-1])
-                    if held > ARCHIVE_BYTES or len(rows) >= 4096:
-                        yield table_of(rows)
-                        rows, held = [], 0
+            own = batch.column(0).to_pylist()
+            for name, content in zip(own, contents(folder, own)):
+                rows = [(name, i, *r[:5]) for i, r in enumerate(converted(content))]
                 if rows:
-                    yield table_of(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    narrow = [("page_id", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("record_id", pa.string()), ("kind", pa.string())]
-    names = narrow + ([("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("head", pa.binary()), ("record", pa.binary())] if full else [])
+    return dealt(manifest.select("file")).mapInArrow(run, "file string, number int, page_id long, digest string, n long, record_id string, kind string")
 
-    def table_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), names)], [n for n, _ in names])
 
-    schema = "page_id long, digest string, n long, record_id string, kind string" + (", url string, ip string, date string, head binary, record binary" if full else "")
-    return archives.select("content").mapInArrow(run, schema)
+def write_warc(archives: str, manifest: DataFrame, folder: str) -> DataFrame:
+    """Convert the ARC files of a manifest to gzipped WARC files in `folder` (a URI); returns the manifest of these.
 
-
-def write_warc(archives: DataFrame, folder: str) -> list[str]:
-    """Convert ARC files to gzipped WARC files in `folder` (a URI); returns the files' paths."""
-    narrow = cut(convert(archives, False))
+    Which records are revisits is decided on narrow rows, and told to the task that converts their
+    file as a list that is no longer than the file's records; no payload is shuffled.
+    """
+    narrow = cut(parsed(archives, manifest))
     first = (
         narrow.where((F.col("n") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull() & (F.col("kind") == "response"))
         .groupBy("digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     )
-    revisits = narrow.join(first, "digest").where("page_id > first.page_id").select(
-        F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first.record_id").alias("refers_to")
-    ).distinct()
-    rows = convert(archives, True).join(revisits, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    revisits = narrow.join(first, "digest").where("page_id > first.page_id")
+    told = revisits.groupBy("file").agg(F.collect_list(F.struct("number", F.col("first.record_id").alias("to"))).alias("revisits"))
+    rows = dealt(manifest.join(told, "file", "left").select("file", "revisits"))
 
     def run(batches):
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
-        out = path = None
+        out = name = None
         size = 0
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [name]})
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if out is None:
-                    path, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-                    out = files.open_output_stream(path, compression=None)
-                record = r["record"]
-                if r["refers_to"] is not None:
-                    # another identifier than the response it would have been
-                    own = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'] + ' ' + r['refers_to'])}"
-                    fields = warc_fields(r["url"], r["ip"], r["date"], "revisit", own, r["digest"], r["head"])
-                    fields += [("WARC-Refers-To", f"<{r['refers_to']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
-                    record = gzipped(warc_record(fields, r["head"]))
-                out.write(record)
-                size += len(record)
-                if size >= WARC_FILE_BYTES:
-                    out.close()
-                    out = None
-                    yield pa.RecordBatch.from_pydict({"file": [path.rsplit("/", 1)[1]]})
+            own = batch.column(0).to_pylist()
+            for content, revisits in zip(contents(archives, own), batch.column(1).to_pylist()):
+                refers = {r["number"]: r["to"] for r in revisits or ()}
+                for i, (_, digest, _, identifier, kind, url, ip, date, head, block) in enumerate(converted(content)):
+                    more = []
+                    if i in refers:
+                        # another identifier than the response it would have been
+                        identifier = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, identifier + ' ' + refers[i])}"
+                        kind, block = "revisit", head
+                        more = [("WARC-Refers-To", f"<{refers[i]}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
+                    record = gzipped(warc_record(warc_fields(url, ip, date, kind, identifier, digest, block) + more, block))
+                    if out is None:
+                        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = files.open_output_stream(f"{base}/{name}", compression=None)
+                    out.write(record)
+                    size += len(record)
+                    if size >= WARC_FILE_BYTES:
+                        yield closed()
+                        out = None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [path.rsplit("/", 1)[1]]})
+            yield closed()
 
     files, base = pyarrow.fs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
-    written = cut(rows.select("digest", "record_id", "url", "ip", "date", "head", "record", "refers_to").mapInArrow(run, "file string"))
-    return [f"{folder}/{r.file}" for r in written.collect()]  # a name for each file of 16 MB
+    return cut(rows.mapInArrow(run, "file string"))
 
 
 def warc_records(data):
@@ -285,21 +308,19 @@ def warc_records(data):
             at = end + 4 + n + 4
 
 
-def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, record_id, refers_to (a record id) of the records in WARC files.
+def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, record_id, refers_to (a record id) of the records in the WARC files that a manifest lists.
 
     Digests of blocks and of full payloads are checked against the declared ones; a difference is an
     error.  A revisit's payload size is what its HTTP header declares.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to string"
-    if not paths:
-        return spark.createDataFrame([], schema)
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
+            for content in contents(folder, batch.column(0).to_pylist()):
                 rows = []
-                for head, block in warc_records(content.as_py()):
+                for head, block in warc_records(content):
                     if head["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
                         raise ValueError(f"{head['warc-record-id']}: the block is not what its digest says")
                     http, payload, _ = split_http(head["warc-target-uri"], block)
@@ -314,7 +335,7 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to"])
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, schema)
+    return dealt(manifest.select("file")).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -331,9 +352,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     # the converter takes http records: pages without a usable address get one of their own
     own = F.concat(F.lit("http://page.invalid/"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
     url = F.when(F.lower("url").rlike("^https?:"), F.col("url")).otherwise(own)
-    archives = as_archives(pages.select("page_id", url.alias("url"), "html"))
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    found = read_warc(spark, write_warc(archives, folder))
+    base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    archives = as_archives(pages.select("page_id", url.alias("url"), "html"), f"{base}/arc")
+    found = read_warc(f"{base}/warc", write_warc(f"{base}/arc", archives, f"{base}/warc"))
     target = found.where("record_type <> 'revisit'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page")).distinct()
     whole = found.join(target, found.refers_to == target["_id"], "left")
     return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to"))
