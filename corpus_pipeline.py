@@ -35,21 +35,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id belong to no group and stay.  Groups are of rows: unlike rows that share
     a doc_id are in different groups, and each group keeps its own row.  Null and empty texts are
-    alike and leave one row; very long ones are compared whole.  All columns pass through; of rows
-    that tie in doc_id, fingerprint and text the smallest by the other columns stays.  An empty table
-    stays empty.
+    alike and leave one row; very long ones are compared whole.  All columns pass through, of any
+    name and kind; of rows that tie in doc_id, fingerprint and text the one whose JSON has the
+    smallest hash stays.  An empty table stays empty.
     """
     fps = cut(op6_simhash.fingerprints(docs, "text", "doc_id").where("id IS NOT NULL"))
     first = cut(op6_simhash.firsts(fps))
     # a doc_id of one row names that row; only for the others are fingerprints needed with the rows
     shared = cut(fps.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
     gone = fps.join(first, ["id", "fp"], "left_anti").select(F.col("id").alias("doc_id"))
-    alone = docs.join(cut(gone.union(shared).distinct()), "doc_id", "left_anti").select(*docs.columns)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = op6_simhash.with_fingerprint(docs.join(shared, "doc_id", "left_semi").select("doc_id", "text", *rest))
+    alone = packed(docs, "doc_id").join(cut(gone.union(shared).distinct()), "doc_id", "left_anti").select("_row")
+    marked = op6_simhash.with_fingerprint(packed(docs, "doc_id", "text").join(shared, "doc_id", "left_semi").select("doc_id", "text", "_row"))
     kept = marked.join(first, (marked.doc_id == first.id) & (marked._fp == first.fp), "left_semi")
-    kept = kept.groupBy("doc_id", "_fp").agg(F.min(F.struct("text", *rest)).alias("r"))
-    return alone.union(kept.select(*[F.col(c) if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]))
+    rank = F.struct("text", F.sha2(F.to_json("_row", {"ignoreNullFields": "false"}), 256))
+    kept = kept.groupBy("doc_id", "_fp").agg(F.min_by("_row", rank).alias("_row")).select("_row")
+    return alone.union(kept).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
