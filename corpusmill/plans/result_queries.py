@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..operators import classify as cf
 from ..operators import evaluate as ev
 from ..operators import metadata as md
 from ..operators import sequences as sq
@@ -84,6 +85,22 @@ def _(t):
     return sq.topological_levels(edges(t))
 
 
+SKIPS = "sk AS (SELECT parent, child FROM e UNION SELECT * FROM (SELECT instance_id AS parent, lead(instance_id, 2) OVER (PARTITION BY thread_id ORDER BY pos) AS child FROM th) WHERE child IS NOT NULL AND substr(md5('skip|' || parent), 1, 1) < '8')"
+
+
+def skipping(t):
+    """Threads in which half of the turns also follow the turn before the last."""
+    w = Window.partitionBy("thread_id").orderBy("pos")
+    more = threads(t).select(F.col("instance_id").alias("parent"), F.lead("instance_id", 2).over(w).alias("child")).where("child IS NOT NULL")
+    return edges(t).union(more.where(F.substring(F.md5(F.concat(F.lit("skip|"), "parent")), 1, 1) < "8"))
+
+
+@q("sq_toposort_graph", f"WITH RECURSIVE {EDGES}, {SKIPS}, ways AS (SELECT instance_id, 0 AS level FROM th WHERE thread_id IN (SELECT thread_id FROM many) AND instance_id NOT IN (SELECT child FROM sk) UNION SELECT child, level + 1 FROM ways JOIN sk ON parent = instance_id) SELECT instance_id, CAST(max(level) AS INTEGER) AS level FROM ways GROUP BY 1")
+def _(t):
+    """Longest ways in a graph that branches and joins."""
+    return sq.topological_levels(skipping(t))
+
+
 @q("sq_slice", f"WITH {EDGES}, k AS (SELECT instance_id FROM th WHERE substr(md5('slice|' || instance_id), 1, 1) < 'c') SELECT * FROM e WHERE parent IN (SELECT instance_id FROM k) AND child IN (SELECT instance_id FROM k)")
 def _(t):
     kept = threads(t).where(F.substring(F.md5(F.concat(F.lit("slice|"), "instance_id")), 1, 1) < "c").select("instance_id")
@@ -97,7 +114,46 @@ def _(t):
     return sq.markov_features(threads(t), labels, 2)
 
 
-@q("sq_markov_decode")
+SIZES = "fs AS (SELECT conv_id || '-' || turn AS instance_id, 'size' || length(CAST(length(coalesce(text, '')) AS VARCHAR)) AS feature, 1 AS value FROM conversations)"
+
+
+def sizes(t):
+    """One feature of a turn: how many digits its length has."""
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    size = F.concat(F.lit("size"), F.length(F.length(F.coalesce("text", F.lit(""))).cast("string")).cast("string"))
+    return t.conversations.select(name.alias("instance_id"), size.alias("feature"), F.lit(1).cast("long").alias("value"))
+
+
+def turns(t):
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return t.conversations.select("conv_id", name.alias("instance_id"), F.col("role").alias("label"))
+
+
+@q("sq_markov_graph", f"WITH {EDGES}, {SKIPS}, {SIZES}, up1 AS (SELECT child AS instance_id, parent AS b FROM sk), up2 AS (SELECT DISTINCT x.instance_id, y.b FROM up1 x JOIN up1 y ON y.instance_id = x.b), rl AS (SELECT instance_id, role FROM th) SELECT instance_id, 'own:' || feature AS feature, CAST(value AS BIGINT) AS value FROM fs UNION ALL SELECT u.instance_id, 'above:' || feature, CAST(sum(value) AS BIGINT) FROM up1 u JOIN fs ON fs.instance_id = b GROUP BY 1, 2 UNION ALL SELECT u.instance_id, 'prev1:' || role, count(*) FROM up1 u JOIN rl ON rl.instance_id = b GROUP BY 1, 2 UNION ALL SELECT u.instance_id, 'prev2:' || role, count(*) FROM up2 u JOIN rl ON rl.instance_id = b GROUP BY 1, 2 UNION ALL SELECT instance_id, 'prev1:START', 1 FROM th WHERE instance_id NOT IN (SELECT instance_id FROM up1) UNION ALL SELECT instance_id, 'prev2:START', 1 FROM th WHERE instance_id NOT IN (SELECT instance_id FROM up2)")
+def _(t):
+    """Training side: own and predecessors' features, and gold classes one and two steps before."""
+    every = turns(t)
+    return sq.graph_markov_features(sizes(t), skipping(t), every.select("instance_id", "label"), every, 2)
+
+
+@q("sq_markov_classify")
+def _(t):
+    """Roles of every fifth conversation's turns, by naive Bayes with the predicted roles before them; learned from the others."""
+    every, features, graph = turns(t), t.stored(sizes(t)), t.stored(skipping(t))
+    train, test = every.where("conv_id % 5 > 0"), every.where("conv_id % 5 = 0")
+    gold = train.select("instance_id", "label")
+    model = [t.stored(x) for x in cf.nb_model(sq.graph_markov_features(features, sq.slice_edges(graph, train), gold, train, 2), gold)]
+    found = sq.markov_classify(features, graph, test, lambda rows: ev.highest(cf.nb_predict(tuple(model), rows), ["instance_id"]), 2)
+    return found.join(test.select("instance_id", F.col("label").alias("gold")), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
+
+
+DECODE = """WITH RECURSIVE n AS (SELECT conv_id, conv_id || '-' || turn AS instance_id, length(coalesce(text, '')) / 200 AS a, 1 - length(coalesce(text, '')) / 200 AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+d AS (SELECT conv_id, rn, instance_id, CASE WHEN a >= u + 1 THEN 'assistant' ELSE 'user' END AS label FROM n WHERE rn = 1
+UNION ALL SELECT n.conv_id, n.rn, n.instance_id, CASE WHEN a + CASE WHEN label = 'user' THEN 1 ELSE 0 END >= u + CASE WHEN label = 'assistant' THEN 1 ELSE 0 END THEN 'assistant' ELSE 'user' END FROM d JOIN n ON n.conv_id = d.conv_id AND n.rn = d.rn + 1)
+SELECT instance_id, label FROM d"""
+
+
+@q("sq_markov_decode", DECODE)
 def _(t):
     """Roles of turns from text length and the role before, decided turn by turn."""
     roles = ["assistant", "user"]
