@@ -116,7 +116,8 @@ def contents(folder: str, names) -> bytes:
 
 def dealt(manifest: DataFrame) -> DataFrame:
     """The rows of a manifest over as many tasks as a shuffle has: each reads whole files, so a few bytes here are much work."""
-    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    # not by file: a join by file before it would make this shuffle superfluous, and leave the rows in one task
+    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def members(data) -> bytes:
