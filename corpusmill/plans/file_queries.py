@@ -13,6 +13,8 @@ from ..operators import classify as cf
 from ..operators import evaluate as ev
 from ..operators import features as fm
 from ..operators import learners as ml
+from ..operators import linear as ln
+from ..operators import topics as tp
 from ..operators import weights as wt
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -310,36 +312,66 @@ def _(t):
     return t.spark.read.parquet(f"{path}/gold").groupBy("result_id", "label").agg(F.count("*").alias("n"))
 
 
-# ---- pyspark.ml (rows only: no SQL form)
+# ---- learners that iterate (rows only: no SQL form)
+
+
+def frequent(t, n=400):
+    """Words in most documents, and their space."""
+    w = t.stored(t.words())
+    kept = w.join(F.broadcast(wt.highest_n(wt.document_frequency(w), n)), "feature", "left_semi")  # proven bound: n features
+    return kept, t.stored(fm.index_features(kept))
 
 
 def vectors(t, n=400):
-    w = t.words()
-    space = fm.index_features(w.join(F.broadcast(wt.highest_n(wt.document_frequency(w), n)), "feature", "left_semi"))
+    w, space = frequent(t, n)
     return ml.to_vectors(w, space, n), space
 
 
+def against_gold(t, found):
+    return found.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
+
+
 def learned(t, kind, n=400):
     v, _ = vectors(t, n)
     split = t.train_test()
     train, test = (v.join(split.where(F.col("role") == r), "instance_id", "left_semi") for r in ("train", "test"))
-    found = ml.fit_predict(kind, ml.labelled(train, t.langs()), test, n, 4)
-    return found.join(t.langs().withColumnRenamed("label", "gold"), "instance_id").groupBy("gold", "label").agg(F.count("*").alias("n"))
+    return against_gold(t, ml.fit_predict(kind, ml.labelled(train, t.langs()), test, n, 4))
 
 
-for _name, _kind, _n in (("clf_linear", "svm", 400), ("clf_maxent", "logistic", 400), ("clf_trees", "tree", 200), ("clf_forest", "forest", 200), ("clf_mlp", "mlp", 100)):
+for _name, _kind, _n in (("clf_maxent_l1", "logistic_l1", 200), ("clf_trees", "tree", 200), ("clf_forest", "forest", 200), ("clf_mlp", "mlp", 100)):
     q(_name)(lambda t, kind=_kind, n=_n: learned(t, kind, n))
 
 
+def linear(t, kind):
+    """Learned on the training part, all classes at once; the test part's best classes."""
+    w, space = frequent(t)
+    part = t.train_test().select("instance_id", F.when(F.col("role") == "test", 0).alias("test_fold"))
+    found = ln.Batched(w, space, t.langs(), part, kind).fit(rounds=40, tolerance=1e-3).scores()
+    return against_gold(t, ev.highest(found, ["instance_id"]))
+
+
+for _name, _kind in (("clf_linear", "svm"), ("clf_maxent", "logistic")):
+    q(_name)(lambda t, kind=_kind: linear(t, kind))
+
+
+@q("ex_run_linear")
+def _(t):
+    """Ten folds and all classes in one optimisation: correct predictions by fold."""
+    w, space = frequent(t, 200)
+    found = ln.Batched(w, space, t.langs(), t.folds(), "svm").fit(rounds=25, tolerance=1e-3).scores()
+    best = ev.highest(found, ["fold", "instance_id"]).join(t.langs().withColumnRenamed("label", "gold"), "instance_id")
+    return best.groupBy("fold").agg(F.count(F.when(F.col("gold") == F.col("label"), 1)).alias("right"), F.count("*").alias("n"))
+
+
 @q("w_linear_svm")
 def _(t):
-    v, space = vectors(t)
-    return ml.svm_weights(ml.labelled(v, t.langs()), space)
+    w, space = frequent(t)
+    return ln.Batched(w, space, t.langs()).fit(rounds=40, tolerance=1e-3).feature_weights()
 
 
 @q("ft_lda")
 def _(t):
-    return ml.topics(vectors(t, 300)[0], k=10, iterations=5)
+    return tp.gibbs_topics(frequent(t, 300)[0], k=20, sweeps=8)
 
 
 @q("pr_kmeans")
