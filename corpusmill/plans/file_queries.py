@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from ..operators import learners as ml
 from ..operators import linear as ln
 from ..operators import topics as tp
 from ..operators import weights as wt
+from ..sources import archives as ar
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..streaming import online
@@ -77,31 +75,13 @@ def _(t):
     return counted(decoded(texts.join(maps["domain_category"], "instance_id")).withColumn("label", F.regexp_replace("label", "(source|lang)=", "")))
 
 
-@q("src_tar", "SELECT lang AS label, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+@q("src_tar", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS instance_id, source || '/' || lang AS label, md5(coalesce(text, '')) AS digest FROM documents")
 def _(t):
-    """An archive for each source, written by tasks as binary rows and read back as files."""
-
-    def pack(frame):
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as archive:
-            for r in frame.itertuples():
-                info = tarfile.TarInfo(f"{r.lang}/{r.doc_id}.txt")
-                data = (r.text or "").encode()
-                info.size = len(data)
-                archive.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"content": [out.getvalue()]})
-
-    buckets = t.documents.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bucket"))
-    archives = buckets.groupBy("bucket").applyInPandas(pack, "content binary")
-
-    def unpack(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                    rows = [(m.name.rsplit("/", 2)[-2], m.size) for m in archive if m.isfile()]
-                yield pd.DataFrame(rows, columns=["label", "size"])
-
-    return archives.mapInPandas(unpack, "label string, size long").groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
+    """Archives of bounded size, written by tasks, indexed by their headers and read by ranges."""
+    path = t.scratch()
+    name = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
+    ar.write_tar(t.documents.select(name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes")), path, 1 << 20)
+    return ar.read_tar(t.spark, path, 1 << 18).select("instance_id", "label", F.md5("bytes").alias("digest"))
 
 
 @q("src_jsonl", f"WITH {ML}, n AS (SELECT doc_id, text, 'lines.jsonl-' || (row_number() OVER (ORDER BY doc_id) - 1) AS instance_id FROM documents SEMI JOIN ml ON ml.instance_id = doc_id) SELECT n.instance_id, label, md5(text) AS digest FROM n JOIN ml ON ml.instance_id = doc_id")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,19 +46,6 @@ def read_lines_by_class(spark: SparkSession, path: str, folders: bool = False) -
     return lines.where("value <> ''").select(F.concat_ws("-", "label", F.col("line").cast("string")).alias("instance_id"), "label", F.col("value").alias("text"))
 
 
-def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    """(instance_id, label, bytes): members of tar archives, one task for an archive; the class is a member's folder."""
-
-    def run(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                    rows = [(m.name, m.name.rsplit("/", 2)[-2] if "/" in m.name else "", archive.extractfile(m).read()) for m in archive if m.isfile()]
-                yield pd.DataFrame(rows, columns=["instance_id", "label", "bytes"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "instance_id string, label string, bytes binary")
-
-
 def read_jsonl(spark: SparkSession, path: str, text_key: str, class_key: str, folders: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, class_map) of JSON lines; the class is a scalar or a list.  Ids: file name and line number; `folders` as in read_lines_by_class."""
     rows = numbered_lines(spark, path, folders=folders).where("trim(value) <> ''")

@@ -2,12 +2,15 @@
 
 import glob
 import gzip
+import io
 import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import features as fm
+from corpusmill.sources import archives as ar
 from corpusmill.sources import lines as ln
 from corpusmill.sources import readers as rd
 from corpusmill.sources import writers as wr
@@ -121,3 +124,31 @@ def test_a_long_thread_is_many_rows(spark, tmp_path):
     for thread in sorted(by):
         want += [f"{i % 10} x" for i in by[thread]] + [""]
     assert got == want
+
+
+def test_tar_is_read_by_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    members = {f"a/{'deep/' * (i % 40)}m{i}é.txt": bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 511, 512, 513, 4000]))) for i in range(300)}
+    members["top.txt"] = b"no folder"
+    frame = spark.createDataFrame(list(members.items()), "name string, bytes binary").repartition(3)
+    assert ar.write_tar(frame, f"{tmp_path}/many", 30_000) == len(members)
+    archives = glob.glob(f"{tmp_path}/many/*.tar")
+    assert len(archives) > 6 and all(tarfile.open(a).getmembers() for a in archives)
+    # one archive for all, one compressed, and things that are no archives or no files
+    (tmp_path / "one").mkdir()
+    for name, mode in (("whole.tar", "w"), ("packed.tar.gz", "w:gz")):
+        with tarfile.open(tmp_path / "one" / name, mode) as t:
+            folder = tarfile.TarInfo("folder")
+            folder.type = tarfile.DIRTYPE
+            t.addfile(folder)
+            for n, data in members.items():
+                info = tarfile.TarInfo(n)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    (tmp_path / "one" / "notes.txt").write_text("no archive")
+    want = sorted((n, n.rpartition("/")[0], d) for n, d in members.items())
+    read = lambda where: sorted((r.instance_id, r.label, bytes(r.bytes)) for r in ar.read_tar(spark, f"{tmp_path}/{where}", 10_000).collect())
+    assert read("many") == want
+    assert read("one") == sorted(want + want)
+    index = ar.tar_index(spark, f"{tmp_path}/one").where("at IS NOT NULL")
+    assert index.selectExpr("floor(at / 10000) AS r").distinct().count() > 20  # one archive, many ranges
