@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import looked_up, running_sums
+
 
 def chance(seed: str, *columns) -> Column:
     """Hex digits in place of a random number."""
@@ -108,17 +110,18 @@ def test_class_only(split: DataFrame, class_map: DataFrame) -> DataFrame:
 
 
 def weighted_choice(items: DataFrame, n: int, seed: str) -> DataFrame:
-    """(draw, item): n draws with replacement by weight, `items`: (item, w), a dimension table; all weights zero: uniform.
+    """(draw, item): n draws with replacement by weight, `items`: (item, w); all weights zero: uniform.
 
-    Cumulative weights make intervals; each draw's hash falls into one (a range join with a short list).
+    Cumulative weights make intervals, looked up by buckets.  A draw has 52 bits.
     """
-    whole = Window.partitionBy()
-    w = items.withColumn("w", F.when(F.sum("w").over(whole) > 0, F.col("w")).otherwise(1.0))
-    hi = F.sum("w").over(Window.orderBy("item")) / F.sum("w").over(whole)
-    bounds = w.select("item", F.round(hi, 9).alias("hi"), F.round(hi - F.col("w") / F.sum("w").over(whole), 9).alias("lo"))
-    spark = items.sparkSession
-    draws = spark.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(chance(seed, "id"), 1, 8), 16, 10).cast("double") / 16**8).alias("u"))
-    return draws.join(bounds, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "item")
+    whole = items.agg(F.sum("w")).first()[0] or 0
+    w = items if whole > 0 else items.withColumn("w", F.lit(1.0))
+    total = float(whole if whole > 0 else items.count())
+    lo = F.col("lo") / total
+    bounds = running_sums(w, [F.col("item")], "w", "lo").select("item", F.round(lo, 12).alias("lo"), F.round(lo + F.col("w") / total, 12).alias("hi"))
+    u = F.conv(F.substring(chance(seed, "draw"), 1, 13), 16, 10).cast("double") / 16**13
+    draws = items.sparkSession.range(n).withColumnRenamed("id", "draw")
+    return looked_up(draws, u, bounds).select("draw", "item")
 
 
 def cross_domain(train: DataFrame, test: DataFrame) -> DataFrame:

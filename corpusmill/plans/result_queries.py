@@ -12,6 +12,7 @@ from ..functions import special
 from ..operators import classify as cf
 from ..operators import evaluate as ev
 from ..operators import metadata as md
+from ..operators import runs as rn
 from ..operators import sequences as sq
 from .base import q
 
@@ -445,7 +446,27 @@ def _(t):
     return md.merge(m.where("meta.source < 'src5'"), src).select("result_id")
 
 
-@q("md_reuse", f"WITH {META} SELECT result_id FROM me WHERE lang = 'es'")
+@q("md_missing", f"WITH {META} SELECT result_id FROM me WHERE lang = 'es'")
 def _(t):
     m = meta(t)
     return md.missing(m, m.where("meta.lang <> 'es'")).select("result_id")
+
+
+@q("md_reuse", "SELECT lang, source, count(*) AS n, CAST(1 AS BIGINT) AS times_run, CAST(CASE WHEN lang = 'es' THEN 0 ELSE 1 END AS BIGINT) AS times_reused FROM documents GROUP BY lang, source")
+def _(t):
+    """Four experiments, three of which were run before: those are read, the fourth runs."""
+    folder = t.scratch()
+    first, then = rn.Runs(t.spark, folder), rn.Runs(t.spark, folder)
+
+    def experiment(runs, lang):
+        meta_ = {"dataset": "documents", "class": lang, "uuid": str(id(runs))}
+        return runs.result(meta_, lambda: t.documents.where(F.col("lang") == lang).groupBy("lang", "source").agg(F.count("*").alias("n"))), runs.key(meta_)
+
+    for lang in ("de", "en", "fr"):
+        experiment(first, lang)
+    out = None
+    for lang in ("de", "en", "es", "fr"):
+        rows, key = experiment(then, lang)
+        rows = rows.select("*", F.lit((first.ran + then.ran).count(key)).cast("long").alias("times_run"), F.lit((first.reused + then.reused).count(key)).cast("long").alias("times_reused"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(then.committed().select(F.col("meta.class").alias("lang")), "lang", "left_semi")

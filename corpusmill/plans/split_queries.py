@@ -102,8 +102,8 @@ def draw(name: str) -> str:
     return f"CAST(('0x' || substr(md5('{name}|' || draw), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-@q("smp_weighted_choice", f"""WITH i AS (SELECT source AS item, CAST(sum(n_chars) AS DOUBLE) AS w FROM documents GROUP BY 1), c AS (SELECT item, sum(w) OVER (ORDER BY item) / sum(w) OVER () AS hi0, w / sum(w) OVER () AS s FROM i),
-b AS (SELECT item, round(hi0, 9) AS hi, round(hi0 - s, 9) AS lo FROM c), d AS (SELECT draw, {draw('wc')} AS u FROM (SELECT unnest(generate_series(0, 1999)) AS draw))
+@q("smp_weighted_choice", f"""WITH i AS (SELECT source AS item, CAST(sum(n_chars) AS DOUBLE) AS w FROM documents GROUP BY 1), c AS (SELECT item, (sum(w) OVER (ORDER BY item) - w) / sum(w) OVER () AS lo0, w / sum(w) OVER () AS s FROM i),
+b AS (SELECT item, round(lo0 + s, 12) AS hi, round(lo0, 12) AS lo FROM c), d AS (SELECT draw, CAST(('0x' || substr(md5('wc|' || draw), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM (SELECT unnest(generate_series(0, 1999)) AS draw))
 SELECT draw, item FROM d JOIN b ON u >= lo AND u < hi""")
 def _(t):
     items = t.documents.groupBy(F.col("source").alias("item")).agg(F.sum("n_chars").cast("double").alias("w"))
@@ -129,3 +129,16 @@ d AS (SELECT unnest(generate_series(0, (SELECT max(total) FROM c)::BIGINT - 1))
 SELECT label, count(*) AS n FROM u JOIN c ON x >= lo AND x < hi GROUP BY 1""")
 def _(t):
     return sm.resample_pmf(t.langs().groupBy("label").agg(F.count("*").alias("n")), "pmf")
+
+
+@q("smp_bootstrap_histogram")
+def _(t):
+    """Interval of the mean text length over 200 resamples, drawn from the histogram of lengths."""
+    lengths = t.documents.groupBy(F.length(F.coalesce("text", F.lit(""))).cast("long").alias("label")).agg(F.count("*").alias("n"))
+    return sm.bootstrap_histogram(lengths, b=200)
+
+
+@q("smp_bootstrap_large")
+def _(t):
+    """A thousand million draws by the sources' and languages' shares: no row for a draw."""
+    return sm.resample_histogram(t.documents.groupBy(F.concat_ws("/", "source", "lang").alias("label")).agg(F.count("*").alias("n")), "large", 1, 10**9)
