@@ -6,12 +6,16 @@ null, so that averages skip them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
+from . import metadata as md
+from .ranking import row_numbers
 
 
 def highest(scores: DataFrame, keys: list[str], descending: bool = True) -> DataFrame:
@@ -42,6 +46,25 @@ def class_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return gold.withColumnRenamed("label", "gold").join(predicted.withColumnRenamed("label", "pred"), ["fold", "instance_id"])
 
 
+def pair_lists(gold: DataFrame, predicted: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(gold, pred, part, ids): the instances of each pair of classes, sorted, at most `chunk` in a row; part counts a pair's rows from 0."""
+    rows = class_pairs(gold, predicted).select("instance_id", "gold", "pred").distinct()
+    placed = row_numbers(rows, [F.col("instance_id")], ["gold", "pred"]).withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int"))
+    return placed.groupBy("gold", "pred", "part").agg(F.array_sort(F.collect_list("instance_id")).alias("ids"))
+
+
+def stacked(results: dict[str, DataFrame], meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results (fold, instance_id, label) one below the other, with their result_id, and the metadata (key, value) that all of them share."""
+    ids = sorted(results)
+    rows = reduce(DataFrame.unionByName, [results[k].withColumn("result_id", F.lit(k)) for k in ids])
+    return rows, md.shared(meta.where(F.col("result_id").isin(ids)))
+
+
+def mean_times(folds: DataFrame) -> DataFrame:
+    """(result_id, avg_learn, avg_classify) from (result_id, fold, learn_time, classify_time); a fold without a time counts in neither mean."""
+    return folds.groupBy("result_id").agg(F.avg("learn_time").alias("avg_learn"), F.avg("classify_time").alias("avg_classify"))
+
+
 def class_matrix(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(gold, pred, n) over all folds; in each fold only classes with both gold and predicted instances count."""
     both = gold.select("fold", "label").distinct().join(predicted.select("fold", "label").distinct(), ["fold", "label"])

@@ -95,9 +95,9 @@ def stats(features: DataFrame, instances: DataFrame, bins: int = 100) -> DataFra
     return one.crossJoin(two).crossJoin(three)  # one row each
 
 
-def totals_histogram(features: DataFrame, bins: int = 100) -> DataFrame:
-    """(bin, n): histogram of feature totals in equal bins from the smallest to the largest."""
-    totals = features.groupBy("feature").agg(F.sum("value").cast("double").alias("t"))
+def totals_histogram(features: DataFrame, bins: int = 100, by: str = "feature") -> DataFrame:
+    """(bin, n): histogram of the totals of features (or, by instance_id, of instances) in equal bins from the smallest to the largest."""
+    totals = features.groupBy(by).agg(F.sum("value").cast("double").alias("t"))
     ends = totals.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     where = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("t") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))).otherwise(0)
     return totals.crossJoin(ends).groupBy(where.cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -39,6 +39,15 @@ def shared(meta: DataFrame) -> DataFrame:
     return rows.crossJoin(n).where("n = total").select("key", "value")
 
 
+def differing(meta: DataFrame) -> DataFrame:
+    """(key, result_id, value): the entries of keys in which the results differ; a result that lacks such a key has a null value."""
+    ids = meta.select("result_id")
+    rows = meta.select("result_id", F.explode("meta").alias("key", "value"))
+    keys = rows.join(shared(meta).select("key"), "key", "left_anti").select("key").distinct()
+    # keys are few
+    return ids.crossJoin(F.broadcast(keys)).join(rows, ["result_id", "key"], "left").select("key", "result_id", "value")
+
+
 def identity(meta: DataFrame) -> DataFrame:
     """`meta` with a hash of all entries but the volatile ones."""
     kept = F.map_filter("meta", lambda k, v: ~k.isin(*VOLATILE))

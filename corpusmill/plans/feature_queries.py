@@ -65,11 +65,11 @@ def _(t):
 
 
 @q("fm_merge", f"""WITH {FW}, l AS (SELECT DISTINCT feature, lang FROM f JOIN documents ON doc_id = instance_id), d AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM l WHERE lang = 'fr')),
-s AS (SELECT feature, (SELECT max(idx) FROM d) + row_number() OVER (ORDER BY feature) AS idx FROM (SELECT DISTINCT feature FROM l WHERE lang = 'es' AND feature NOT IN (SELECT feature FROM d)))
+s AS (SELECT feature, (SELECT max(idx) FROM d) + row_number() OVER (ORDER BY feature) AS idx FROM (SELECT DISTINCT feature FROM l WHERE lang <> 'fr' AND feature NOT IN (SELECT feature FROM d)))
 SELECT feature, CAST(idx AS BIGINT) AS idx FROM d UNION ALL SELECT feature, CAST(idx AS BIGINT) FROM s""")
 def _(t):
     w = t.words().join(t.langs(), "instance_id")
-    return fm.merge_spaces(fm.index_features(w.where("label = 'fr'")), w.where("label = 'es'"))
+    return fm.merge_spaces(fm.index_features(w.where("label = 'fr'")), w.where("label <> 'fr'"))
 
 
 @q("fm_check_ids", f"WITH {FW} SELECT doc_id AS instance_id, 'instances' AS side FROM documents WHERE doc_id NOT IN (SELECT instance_id FROM f)")
@@ -114,6 +114,12 @@ def _(t):
     return fm.totals_histogram(t.words())
 
 
+@q("fm_size_histogram", f"WITH {FW}, dt AS (SELECT CAST(sum(value) AS DOUBLE) AS t FROM f GROUP BY instance_id), e AS (SELECT min(t) AS lo, max(t) AS hi FROM dt) SELECT CAST(CASE WHEN hi > lo THEN least(99, floor((t - lo) * 100 / (hi - lo))) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM dt, e GROUP BY 1")
+def _(t):
+    """Sizes of documents."""
+    return fm.totals_histogram(t.words(), by="instance_id")
+
+
 @q("fm_instance", f"WITH {FW} SELECT feature, value FROM f WHERE instance_id = 7")
 def _(t):
     one = t.documents.where("doc_id = 7")  # the filter reaches the scan: one document is tokenised
@@ -164,7 +170,7 @@ def _(t):
     return cl.drop_small(t.sources(), 50)
 
 
-@q("cm_is_1ofM", "SELECT false AS multi, true AS single")
+@q("cm_is_1ofM", f"WITH {ML}, m AS (SELECT doc_id, count(label) AS k FROM documents LEFT JOIN ml ON instance_id = doc_id GROUP BY 1), s AS (SELECT doc_id, count(lang) AS k FROM documents GROUP BY 1) SELECT (SELECT bool_and(k = 1) FROM m) AS multi, (SELECT bool_and(k = 1) FROM s) AS single")
 def _(t):
     one = cl.is_one_of_m(t.langs(), t.instances()).withColumnRenamed("one_of_m", "single")
     return cl.is_one_of_m(t.multilabel(), t.instances()).withColumnRenamed("one_of_m", "multi").crossJoin(one)

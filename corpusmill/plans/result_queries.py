@@ -203,10 +203,11 @@ def _(t):
     return matrix(t)
 
 
-@q("rs_classpairs", f"WITH {BASE} SELECT g.label AS gold, pa.label AS pred, count(*) AS n, md5(string_agg(instance_id::VARCHAR, ',' ORDER BY instance_id)) AS digest FROM g JOIN pa USING (instance_id) GROUP BY ALL")
+@q("rs_classpairs", f"WITH {BASE}, n AS (SELECT g.label AS gold, pa.label AS pred, instance_id, row_number() OVER (PARTITION BY g.label, pa.label ORDER BY instance_id) AS rn FROM g JOIN pa USING (instance_id)) SELECT gold, pred, CAST(floor((rn - 1) / 100) AS INTEGER) AS part, count(*) AS n, md5(string_agg(instance_id::VARCHAR, ',' ORDER BY instance_id)) AS digest FROM n GROUP BY ALL")
 def _(t):
-    pairs = ev.class_pairs(gold(t), predicted(t, "a")).groupBy("gold", "pred").agg(F.array_sort(F.collect_list("instance_id")).alias("ids"))
-    return pairs.select("gold", "pred", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
+    """Lists of a hundred instances at most."""
+    pairs = ev.pair_lists(gold(t), predicted(t, "a"), 100)
+    return pairs.select("gold", "pred", "part", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @q("rs_pair_list", f"WITH {MATRIX} SELECT gold, pred, n, CAST(sum(n) OVER (PARTITION BY gold) AS BIGINT) AS gold_errors, CAST(sum(n) OVER (PARTITION BY pred) AS BIGINT) AS pred_errors FROM m WHERE gold <> pred")
@@ -241,10 +242,34 @@ def _(t):
     return ev.overall(s.unionByName(s.where("label < 'es'"))).select("instance_id", "label", R("score"))
 
 
-@q("rs_vstack", f"WITH {BASE} SELECT 'a' AS result_id, fold, count(*) AS n FROM pa GROUP BY ALL UNION ALL SELECT 'b', fold, count(*) FROM pb GROUP BY ALL")
+RMETA = f"{BASE}, u AS (SELECT 'a' AS result_id, pa.* FROM pa UNION ALL SELECT 'b', pb.* FROM pb), rm AS (SELECT result_id, unnest(['instances', 'folds', 'right']) AS key, unnest([count(*)::VARCHAR, count(DISTINCT u.fold)::VARCHAR, count(*) FILTER (WHERE u.label = g.label)::VARCHAR]) AS value FROM u JOIN g USING (instance_id) GROUP BY result_id), same AS (SELECT key, min(value) AS value FROM rm GROUP BY 1 HAVING count(*) = 2 AND min(value) = max(value))"
+
+
+def two_results(t):
+    """Two results, and what is known about each: how many instances and folds, how many are right."""
+    results = {k: predicted(t, k) for k in "ab"}
+    out = None
+    for k, rows in results.items():
+        both = rows.join(gold(t).withColumnRenamed("label", "gold"), ["fold", "instance_id"])
+        known = both.agg(F.count("*").alias("n"), F.countDistinct("fold").alias("f"), F.count(F.when(F.col("label") == F.col("gold"), 1)).alias("r"))
+        entries = F.create_map(*[x for key, c in (("instances", "n"), ("folds", "f"), ("right", "r")) for x in (F.lit(key), F.col(c).cast("string"))])
+        row = known.select(F.lit(k).alias("result_id"), entries.alias("meta"))
+        out = row if out is None else out.unionByName(row)
+    return results, out
+
+
+@q("rs_vstack", f"WITH {RMETA} SELECT result_id, fold, count(*) AS n, (SELECT string_agg(key || '=' || value, ';' ORDER BY key) FROM same) AS shared FROM u GROUP BY ALL")
+def _(t):
+    """Two results one below the other, and the metadata that both have."""
+    rows, same = ev.stacked(*two_results(t))
+    shared = same.agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), "value"))), ";").alias("shared"))  # a few keys
+    return rows.groupBy("result_id", "fold").agg(F.count("*").alias("n")).crossJoin(F.broadcast(shared))
+
+
+@q("cmp_metadata", f"WITH {RMETA} SELECT key, result_id, value FROM rm WHERE key NOT IN (SELECT key FROM same)")
 def _(t):
-    both = predicted(t, "a").withColumn("result_id", F.lit("a")).unionByName(predicted(t, "b").withColumn("result_id", F.lit("b")))
-    return both.groupBy("result_id", "fold").agg(F.count("*").alias("n"))
+    """Where two results differ."""
+    return md.differing(two_results(t)[1])
 
 
 @q("rs_equal", f"WITH {BASE} SELECT (SELECT count(*) FROM (SELECT * FROM pa EXCEPT ALL SELECT * FROM pb)) AS only_a, (SELECT count(*) FROM (SELECT * FROM pb EXCEPT ALL SELECT * FROM pa)) AS only_b")
@@ -304,9 +329,13 @@ def _(t):
     return ev.ordinal_errors(matrix(t), order).select(R("rms"), R("mae"))
 
 
-@q("mx_times", "SELECT CAST(user_id % 10 AS INTEGER) AS result_id, round(avg(value), 6) AS mean_time FROM events GROUP BY 1")
+@q("mx_times", "SELECT CAST(user_id % 10 AS INTEGER) AS result_id, round(avg(learn), 6) AS avg_learn, round(avg(classify), 6) AS avg_classify FROM (SELECT user_id, sum(value) FILTER (WHERE event_id % 2 = 0) AS learn, sum(value) FILTER (WHERE event_id % 2 = 1) AS classify FROM events GROUP BY user_id) GROUP BY 1")
 def _(t):
-    return t.events.groupBy((F.col("user_id") % 10).cast("int").alias("result_id")).agg(F.round(F.avg("value"), 6).alias("mean_time"))
+    """A user's events as the times of a fold, of a tenth of the users as a result's."""
+    part = lambda r: F.sum(F.when(F.col("event_id") % 2 == r, F.col("value")))
+    folds = t.events.groupBy("user_id").agg(part(0).alias("learn_time"), part(1).alias("classify_time"))
+    found = ev.mean_times(folds.select((F.col("user_id") % 10).cast("int").alias("result_id"), F.col("user_id").alias("fold"), "learn_time", "classify_time"))
+    return found.select("result_id", R("avg_learn"), R("avg_classify"))
 
 
 @q("mx_is_prob", f"WITH {SCORES} SELECT min(score) >= 0 AND max(score) <= 1 AND bool_or(score > 0 AND score < 1) AS is_probability FROM s")
@@ -405,7 +434,7 @@ def _(t):
     return md.value_counts(meta(t))
 
 
-@q("md_shared", "SELECT 'learner' AS key, 'nb' AS value")
+@q("md_shared", f"WITH {META}, en AS (SELECT result_id, unnest(['source', 'lang', 'docs', 'learner']) AS key, unnest([source, lang, CASE WHEN docs <> '1' THEN docs END, 'nb']) AS value FROM me) SELECT key, value FROM en GROUP BY ALL HAVING count(value) = (SELECT count(*) FROM me)")
 def _(t):
     return md.shared(meta(t))
 
