@@ -75,8 +75,12 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 def byte_ngrams(text: Column, n: int) -> Column:
-    """Byte n-grams of the UTF-8 form, as upper-case hex."""
-    return ngrams(F.regexp_extract_all(F.hex(F.encode(text_or_empty(text), "UTF-8")), F.lit(".."), 0), n, "")
+    """Byte n-grams of the UTF-8 form, as upper-case hex.  Pieces of a binary are cut without searching their place."""
+    empty = F.array().cast("array<string>")
+    return let(
+        F.encode(text_or_empty(text), "UTF-8"),
+        lambda b: F.when(F.octet_length(b) >= n, F.transform(F.sequence(F.lit(1), F.octet_length(b) - n + 1), lambda i: F.hex(F.substring(b, i, n)))).otherwise(empty),
+    )
 
 
 def perword_ngrams(text: Column, sizes=(2, 3)) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..shared import stored
 from .splits import chance, hash_rank
 
+#: numbers in a model that is broadcast
+MOST_BROADCAST = 1 << 22
+
 
 def nb_counts(features: DataFrame, class_map: DataFrame, fold_of: DataFrame, boolean: bool = False) -> DataFrame:
     """(test_fold, label, feature, n): what naive Bayes learns from each fold's instances, once for all folds."""
@@ -50,6 +53,9 @@ def naive_bayes_cv(features: DataFrame, class_map: DataFrame, fold_of: DataFrame
     x = features.join(fold_of, "instance_id").select("instance_id", "feature", F.col("value").cast("double").alias("x"), F.col("test_fold").alias("fold"), fold_at.cast("int").alias("_at"))
     # each class's training count: the total less the own fold's
     terms = [F.col("x") * F.ln(1 + F.get("total", F.lit(c)) - F.get("own", F.col("_at") + c)) for c in range(len(labels))]
+    # a small model goes to the cells, else the cells to the model
+    if size.first().v * len(labels) * (len(places) + 1) <= MOST_BROADCAST:
+        model = F.broadcast(model)
     sums = x.join(model, "feature", "left").groupBy("fold", "instance_id").agg(F.sum("x").alias("len"), *[F.sum(t).alias(f"s{c}") for c, t in enumerate(terms)])
     rows = sums.select("fold", "instance_id", "len", F.explode(F.map_from_arrays(F.lit(labels), F.array(*[F.coalesce(f"s{c}", F.lit(0.0)) for c in range(len(labels))]))).alias("label", "s"))
     return rows.join(F.broadcast(classes), ["fold", "label"]).select("fold", "instance_id", "label", (F.col("prior") + F.col("s") - F.col("len") * F.col("norm")).alias("score"))
