@@ -426,7 +426,16 @@ def _(t):
     return pr.prototypes(train, classes, "sum").groupBy("label").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
 
 
-@q("mt_weighted")
+def entropy_term(n: str, of: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN -({n} / ({of})) * ln({n} / ({of})) ELSE 0 END"
+
+
+#: gains of words over the training part, and the 500 highest
+BEST_500 = f"""gn AS (SELECT sum(n_c) AS n FROM nc), fl AS (SELECT feature, label, count(*) AS a FROM tr JOIN cm USING (instance_id) GROUP BY ALL), nf AS (SELECT feature, sum(a) AS nf FROM fl GROUP BY 1), grid AS (SELECT nf.feature, nf, nc.label, n_c, n, coalesce(a, 0) AS a FROM nf CROSS JOIN nc CROSS JOIN gn LEFT JOIN fl ON fl.feature = nf.feature AND fl.label = nc.label),
+gain AS (SELECT feature, sum({entropy_term("n_c", "n")}) - (max(nf) * sum({entropy_term("a", "nf")}) + max(n - nf) * sum({entropy_term("(n_c - a)", "n - nf")})) / max(n) AS w FROM grid GROUP BY 1), best500 AS (SELECT feature FROM gain ORDER BY round(w, 9) DESC, feature LIMIT 500)"""
+
+
+@q("mt_weighted", f"WITH {SPLIT}, {BEST_500}, tr2 AS (SELECT * FROM tr SEMI JOIN best500 USING (feature)), te2 AS (SELECT * FROM te SEMI JOIN best500 USING (feature)), at0 AS (SELECT DISTINCT instance_id, 'all' AS node FROM te2), {nodes_sql([('all', x, x) for x in ('de', 'en', 'es', 'fr')], 'wg_', train='tr2', test='te2')}, found AS (SELECT instance_id, branch AS label FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY round(score, 9) DESC, branch) AS rn FROM wg_nb) WHERE rn = 1) SELECT lang AS gold, label, count(*) AS n FROM found JOIN documents ON doc_id = instance_id GROUP BY ALL", once=True)
 def _(t):
     """The 500 features of highest gain, naive Bayes on them: right and wrong by class."""
     train, classes, test = parts(t)
