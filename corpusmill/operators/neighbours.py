@@ -16,13 +16,15 @@ bound of the masses after f.
 2. A posting knows its mass from its feature on, in LEVELS steps.  A query's cell asks only for the
    levels whose bound can beat the best so far, so most postings of a frequent feature are never
    joined: what makes a feature frequent also makes it last, with little mass after it.
-3. The pairs that are left are verified with whole vectors, as maps that are merged by hash.
+3. The pairs that are left are verified with whole vectors, many pairs at once in Arrow batches.
 
 Queries may search each group of the training part apart (the nearest of each class).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from .ranking import row_numbers
 LEVELS = 32
 #: postings that the seeds of a query may have, but for the rarest shared feature
 SEEDS = 256
+#: pairs whose features are merged at once
+PAIRS_AT_ONCE = 512
 #: bounds are sums of doubles; distances are compared to 9 places
 SLACK = 1e-8
 ALPHA = 0.99
@@ -74,9 +78,10 @@ class Search:
 
     @staticmethod
     def _vectors(cells: DataFrame, key: str, name: str) -> DataFrame:
-        # one instance's own features, in order
+        """(group, key, <name>: features in order with their values, <name>_size)."""
+        # one instance's own features
         entries = F.array_sort(F.collect_list(F.struct("r", "value")))
-        return cells.groupBy("group", key).agg(F.map_from_entries(entries).alias(name), F.first("size").alias(f"{name}_size"))
+        return cells.groupBy("group", key).agg(entries.alias("e"), F.first("size").alias(f"{name}_size")).select("group", key, F.col("e.r").alias(f"{name}_r"), F.col("e.value").alias(name), f"{name}_size")
 
     def k(self, x: Column, y: Column) -> Column:
         return x * y if self.kind == "cosine" else x * F.log1p(ALPHA / (1 - ALPHA) * y / x)
@@ -86,21 +91,39 @@ class Search:
         return F.sqrt(a * b) if self.kind == "cosine" else F.when(a > 0, self.k(a, b)).otherwise(0.0)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(group, instance_id, train_id, dist) of pairs, from whole vectors."""
+        """(group, instance_id, train_id, dist) of pairs, from whole vectors: the features of many pairs are merged at once."""
         both = pairs.join(self.vectors, ["group", "train_id"]).join(self.asked, ["group", "instance_id"])
-
-        def over_shared(f) -> Column:
-            terms = F.map_values(F.map_zip_with("tv", "qv", lambda _, x, y: f(x, y)))
-            return F.aggregate(F.filter(terms, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
-
-        if self.kind == "cosine":
-            dist = F.greatest(F.lit(0.0), 1 - over_shared(lambda x, y: x * y) / (F.col("tv_size") * F.col("qv_size")))
-        else:
-            t, q = F.col("tv_size"), F.col("qv_size")
-            shared = over_shared(lambda x, y: x / t * F.ln(x / t / (ALPHA * y / q + (1 - ALPHA) * x / t)))
-            mass = over_shared(lambda x, y: F.when(y.isNotNull(), x / t))
-            dist = shared + (1 - mass) * F.ln(F.lit(1 / (1 - ALPHA)))
-        return both.select("group", "instance_id", "train_id", dist.alias("dist"))
+        cosine, kinds = self.kind == "cosine", dict(pairs.dtypes)
+
+        def entries(ranks, values):
+            """(pair, feature, value) of all entries, in order of pair and feature."""
+            ends = ranks.offsets.to_numpy()
+            inside = slice(ends[0], ends[-1])
+            pair = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            return pair, ranks.values.to_numpy()[inside].astype(np.int64), values.values.to_numpy()[inside]
+
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                    batch = whole.slice(at, PAIRS_AT_ONCE)
+                    pair, r, x = entries(batch.column(3), batch.column(4))
+                    other, s, y = entries(batch.column(6), batch.column(7))
+                    size_t, size_q = batch.column(5).to_numpy(), batch.column(8).to_numpy()
+                    width = max(int(r.max(initial=0)), int(s.max(initial=0))) + 1
+                    mine, theirs = pair * width + r, other * width + s
+                    place = np.minimum(np.searchsorted(mine, theirs), max(len(mine) - 1, 0))
+                    same = mine[place] == theirs if len(mine) else np.zeros(len(theirs), bool)
+                    x, y, of = x[place[same]], y[same], other[same]
+                    if cosine:
+                        dist = np.maximum(0.0, 1 - np.bincount(of, x * y, batch.num_rows) / (size_t * size_q))
+                    else:
+                        p, q = x / size_t[of], y / size_q[of]
+                        shared = np.bincount(of, p * np.log(p / (ALPHA * q + (1 - ALPHA) * p)), batch.num_rows)
+                        dist = shared + (1 - np.bincount(of, p, batch.num_rows)) * np.log(1 / (1 - ALPHA))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(dist)], ["group", "instance_id", "train_id", "dist"])
+
+        columns = both.select("group", "instance_id", "train_id", "tv_r", "tv", "tv_size", "qv_r", "qv", "qv_size")
+        return columns.mapInArrow(run, f"group {kinds['group']}, instance_id {kinds['instance_id']}, train_id {kinds['train_id']}, dist double")
 
     def score(self, dist: Column) -> Column:
         return (F.lit(1.0) if self.kind == "cosine" else F.ln(F.lit(1 / (1 - ALPHA)))) - dist
