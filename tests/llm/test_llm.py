@@ -297,6 +297,41 @@ def test_licence_sentences_end_at_blank_lines(spark):
     assert [r.licence_sentences for r in rows] == [[], ["mit_release"], [], ["reserved"], ["reserved", "reserved"]]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+AGPL = GPL.replace("GNU General Public License as", "GNU Affero General Public License as")
+LGPL = GPL.replace("This program", "This library").replace("GNU General Public License as", "GNU Lesser General Public License as").replace("version 3", "version 2.1")
+TEXTS = {
+    "MIT": MIT, "BSD-3-Clause LicenseRef-Reserved": BSD, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL2, "ISC": ISC, "Zlib": ZLIB, "MPL-2.0": MPL, "AGPL-3.0-or-later": AGPL, "LGPL-2.1-or-later": LGPL,
+    "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0", "CC0-1.0": "x\n# SPDX-License-Identifier: CC0-1.0\ny",
+}
+
+
+@pytest.mark.parametrize("end", ["\n", "\n// ", " "])
+def test_licence_sql_follows_the_same_rule(spark, end):
+    """Wrapped, commented and flat forms: all licences are named, and the SQL has the same rows."""
+    import duckdb
+    import pandas as pd
+
+    texts = [end.join(line for part in text.split("\n") for line in textwrap.wrap(part, 60) or [""]) for text in TEXTS.values()]
+    texts += ["all rights reserved. all rights reserved; all\n\nrights reserved", "released under\n\nthe MIT license", " ".join(texts), "\n\n".join(texts), "", None, "No. All rights reserved "]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    scanned = op4_licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).where(F.size("licence_sentences") > 0)
+    got = {r.doc_id: (len(r.licence_sentences), " ".join(r.licence_sentences), " ".join(r.licences)) for r in scanned.collect()}
+    with duckdb.connect() as con:
+        con.register("documents", docs)
+        want = {r[0]: r[1:] for r in con.execute(op4_licenses.ORACLES["op4_licenses"]).fetchall()}
+    assert got == want
+    # run together with other words, a tag line or a notice after a name is no sentence
+    names = [n if end != " " else n.removesuffix(" LicenseRef-Reserved").replace("CC0-1.0", "") for n in TEXTS]
+    assert [got.get(i, (0, "", ""))[2] for i in range(len(TEXTS))] == names
+
+
 def test_passages(spark):
     rng = random.Random(5)
     words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
