@@ -8,7 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
+#: folders of this process, by application and the folder they are in
+_own: dict[tuple[str, str], str] = {}
+
+
+def base_dir(spark: SparkSession) -> str:
     """What the session names in spark.checkpoint.dir; where that is unset, on one machine only, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -21,6 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """This application's own folder in base_dir.
+
+    The file system is told to delete it when the driver ends: tables in it are steps of queries,
+    and results that are to stay are written elsewhere.
+    """
+    base, context = base_dir(spark), spark.sparkContext
+    at = (context.applicationId, base)
+    if at not in _own:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/corpusmill-{uuid.uuid4().hex}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _own[at] = path.toString()
+    return _own[at]
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """A table that several steps read: written once to the shared folder and read from there.
 

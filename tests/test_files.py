@@ -4,7 +4,11 @@ import glob
 import gzip
 import io
 import random
+import subprocess
+import sys
 import tarfile
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +156,25 @@ def test_tar_is_read_by_ranges(spark, tmp_path):
     assert read("one") == sorted(want + want)
     index = ar.tar_index(spark, f"{tmp_path}/one").where("at IS NOT NULL")
     assert index.selectExpr("floor(at / 10000) AS r").distinct().count() > 20  # one archive, many ranges
+
+
+def test_stored_tables_go_with_the_driver(tmp_path):
+    """What queries store lies in one folder of the shared one; it is gone when the driver has ended, and nothing else is."""
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from corpusmill.shared import shared_dir, stored
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+spark.range(3).write.parquet({str(tmp_path / "result")!r})
+assert stored(spark.range(5)).count() == 5 and shared_dir(spark) == shared_dir(spark)
+print("stored in", [f for f in os.listdir({str(tmp_path)!r}) if f.startswith("corpusmill-")])
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parent.parent)
+    assert done.returncode == 0 and "stored in ['corpusmill-" in done.stdout, done.stderr[-2000:]
+    # the JVM ends shortly after Python
+    for _ in range(100):
+        if not list(tmp_path.glob("corpusmill-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("corpusmill-*")) and (tmp_path / "result").is_dir()
