@@ -36,6 +36,17 @@ def test_query_agrees_with_sql(spark, name):
     agree(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
+def test_whole_arff_header(spark):
+    """The header comes back with the class and every other line, not only the features' attributes."""
+    query, sql = registry.queries()["snk_arff_header"], registry.oracle_sql()["snk_arff_header"]
+    agree(spark, query, sql)
+    rows = query(spark, SMALL).orderBy("line").collect()
+    langs = sorted(r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("lang").distinct().collect())
+    assert [r.line for r in rows] == list(range(len(rows)))
+    assert [r.value for r in rows[:3] + rows[-2:]] == ["@RELATION 'corpus'", "", f"@ATTRIBUTE class {{{','.join(langs)}}}", "", "@DATA"]
+    assert [r.idx for r in rows] == [None] * 3 + list(range(len(rows) - 5)) + [None] * 2
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
