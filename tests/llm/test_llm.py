@@ -126,7 +126,8 @@ def edits(a, b):
 def alike(a, b):
     if max(a.count(" "), b.count(" ")) >= 9:
         a, b = a.split(" "), b.split(" ")
-    return edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    most = 0.2 * max(len(a), len(b)) + 1e-9
+    return abs(len(a) - len(b)) <= most and edits(a, b) <= most
 
 
 def brute_lines(texts):
@@ -137,8 +138,7 @@ def brute_lines(texts):
             if normal(line):
                 places.setdefault(normal(line), []).append((d, i))
     names = list(places)
-    blocks = {n: line_blocks(n) for n in names}
-    links = [(min(places[a]), min(places[b])) for i, a in enumerate(names) for b in names[:i] if lines_meet(blocks[a], blocks[b]) and alike(a, b)]
+    links = [(min(places[a]), min(places[b])) for i, a in enumerate(names) for b in names[:i] if alike(a, b)]
     group = brute_components({min(p) for p in places.values()}, links)
     return {p: (*group[min(ps)], group[min(ps)] == p) for ps in places.values() for p in ps}, len(links)
 
@@ -215,6 +215,37 @@ def test_lines_recall(spark):
     assert all(recall[n, 1] == 1 for n in (10, 20, 40)) and recall[40, 2] > 0.7 and recall[40, 3] > 0.3, recall
 
 
+def test_no_similar_lines_are_left_out(spark):
+    """Against edit similarity alone, whatever blocks lines share: 1 to 40 words, edits of words and of characters up to the threshold."""
+    rng, texts = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9)))
+    for i in range(130):
+        words = [word() for _ in range((1, 2, 3, 5, 8, 9, 10, 11, 15, 40)[i % 10])]
+        for _ in range(2):
+            edited = list(words)
+            if i % 3:
+                for _ in range(rng.randrange(1 + max(1, len(words) // 5))):
+                    at = rng.randrange(len(edited))
+                    edited[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+            line = list(" ".join(edited))
+            for _ in range(rng.randrange(1 + len(line) // 5) if i % 3 != 1 and len(words) < 10 else 0):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randrange(2)] = rng.choice(["", "e", " ", "ab"])
+            texts.append((len(texts), "".join(line)))
+    # one common word, which comes last in the order or first
+    texts += [(1000 + i, "é " * 11 + f"x{i} y{i % 7} z{i % 5}") for i in range(30)]
+    names = sorted({normal(t) for _, t in texts} - {""})
+    near = [(a, b) for i, a in enumerate(names) for b in names[:i] if alike(a, b)]
+    missed = [(a, b) for a, b in near if not lines_meet(line_blocks(a), line_blocks(b))]
+    first = {}
+    for i, t in texts:
+        first.setdefault(normal(t), i)
+    group = brute_components({i for n, i in first.items() if n}, [(first[a], first[b]) for a, b in near])
+    assert len(missed) > 50
+    got = found_lines(spark, texts)
+    assert {i: x[0] for (i, _), x in got.items()} == {i: group[first[normal(t)]] for i, t in texts if normal(t)}
+
+
 def test_lines_awkward(spark):
     rows = op2_lines.dedup_lines(awkward(spark)).collect()
     assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, True), (4, True), (5, False), (6, True), (7, False), (7, False), (8, True)]
