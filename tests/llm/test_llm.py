@@ -246,6 +246,18 @@ def test_no_similar_lines_are_left_out(spark):
     assert {i: x[0] for (i, _), x in got.items()} == {i: group[first[normal(t)]] for i, t in texts if normal(t)}
 
 
+def test_short_lines_meet_only_if_similar(spark):
+    """Pairs of short lines are compared where they meet: none that is unlike goes on to a shuffle, and none that is similar is missing."""
+    rng = random.Random(12)
+    texts = [(i, " ".join(rng.choice(["the", "then", "other", "there", "hen"]) for _ in range(rng.randrange(2, 9)))) for i in range(150)]
+    rows = op2_lines.lines(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("all_words", F.size("hashes"))
+    pairs = op2_lines.short_pairs(rows, spark.createDataFrame([], "node string, component string")).collect()
+    line = {r.h: r.line for r in rows.collect()}
+    names = sorted(set(line.values()))
+    want = {(a, b) for i, b in enumerate(names) for a in names[:i] if alike(a, b)}
+    assert len(want) > 20 and {tuple(sorted((line[r.a], line[r.b]))) for r in pairs} == want
+
+
 def test_lines_awkward(spark):
     rows = op2_lines.dedup_lines(awkward(spark)).collect()
     assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, True), (4, True), (5, False), (6, True), (7, False), (7, False), (8, True)]
