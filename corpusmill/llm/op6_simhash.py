@@ -114,7 +114,8 @@ def class_links(classes: DataFrame) -> DataFrame:
     keys = classes.select("rep", "fp").mapInArrow(run, f"key long, rep {kind}, fp long")
     one, two = keys.toDF("key", "a", "fa"), keys.toDF("key", "b", "fb")
     close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE
-    return one.join(two, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    # a class has some 40 keys, but Spark sizes their table by the classes' file and would broadcast it
+    return one.hint("merge").join(two, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

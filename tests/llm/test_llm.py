@@ -505,6 +505,14 @@ def test_near_duplicates_awkward(spark):
     assert op6_simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_keys_of_few_classes_are_not_broadcast(spark):
+    """Their table is some 40 times as long as the file that Spark knows the size of."""
+    classes = op6_simhash.cut(spark.range(3000).selectExpr("id AS rep", "xxhash64(id DIV 2) ^ id % 2 AS fp"))
+    links = op6_simhash.class_links(classes)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in links.collect()} == {(i, i + 1) for i in range(0, 3000, 2)}
+
+
 def test_arc_round_trip():
     blocks = [op7_warc.http_block(b"<p>" + bytes(range(256)), 5), b"dns answer\n\nwith blank lines", b""]
     for version in (1, 2):
