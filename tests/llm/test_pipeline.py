@@ -29,6 +29,19 @@ def test_columns_of_any_name_and_kind(spark):
     assert stage(spark, frame.limit(0), SMALL).count() == 0
 
 
+def test_near_dedup_broadcasts_no_keys(spark, monkeypatch):
+    plans, settle = [], cp.op6_simhash.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return settle(edges)
+
+    monkeypatch.setattr(cp.op6_simhash, "components", seen)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert 0 < cp.near_dedup(spark, docs, SMALL).count() < docs.count()
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Broadcast" not in plans[0]
+
+
 def fingerprint(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
