@@ -5,12 +5,19 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 VOWELS = "aeiou"
+WORD = re.compile(r"\w+")
+#: characters of texts whose spans are made at once, and stems that a task keeps
+SLICE = 1 << 19
+MOST_STEMS = 1 << 16
 
 # Suffix pairs of the published stemming algorithm (Porter 1980), steps 2, 3 and 4.
 STEP2 = (
@@ -20,6 +27,9 @@ STEP2 = (
 )
 STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+#: the longest suffixes first
+LONGEST = [sorted(pairs, key=lambda p: -len(p[0])) for pairs in (STEP2, STEP3)]
+LONGEST4 = sorted(STEP4, key=len, reverse=True)
 
 
 def _shape(word: str) -> str:
@@ -62,13 +72,13 @@ def porter_stem(word: str) -> str:
                 break
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for pairs in (STEP2, STEP3):
-        for end, new in sorted(pairs, key=lambda p: -len(p[0])):
+    for pairs in LONGEST:
+        for end, new in pairs:
             if word.endswith(end):
                 if _measure(word[: -len(end)]) > 0:
                     word = word[: -len(end)] + new
                 break
-    for end in sorted(STEP4, key=len, reverse=True):
+    for end in LONGEST4:
         if word.endswith(end):
             stem = word[:-3] if end in ("sion", "tion") else word[: -len(end)]
             if _measure(stem) > 1:
@@ -93,17 +103,44 @@ def stem_vocabulary(words: DataFrame, column: str = "token") -> DataFrame:
     return words.select(F.col(column).alias("token")).distinct().select("token", stem("token").alias("stem"))
 
 
+def span_batches(batches, at: int):
+    """Arrow batches with spans as last column; `at`: place of the text.
+
+    A batch goes on in slices of SLICE characters or one text, and spans are flat columns, so what is held at once doesn't grow with
+    the rows of a batch; stems of the commonest words are looked up.
+    """
+    stems: dict[str, str] = {}
+    for whole in batches:
+        long = pc.fill_null(pc.utf8_length(whole.column(at)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(long) // SLICE
+        edges = np.append(np.unique(piece, return_index=True)[1], whole.num_rows)
+        for first, last in zip(edges, edges[1:]):
+            batch = whole.slice(first, last - first)
+            words, starts, ends, found, offsets = [], [], [], [], [0]
+            for text in batch.column(at):
+                for m in WORD.finditer(text.as_py() or ""):
+                    word = m[0]
+                    lower = word.lower()
+                    if (stem := stems.get(lower)) is None:
+                        if len(stems) >= MOST_STEMS:
+                            stems.clear()
+                        stem = stems[lower] = porter_stem(lower)
+                    words.append(word)
+                    starts.append(m.start())
+                    ends.append(m.end())
+                    found.append(stem)
+                offsets.append(len(words))
+            columns = [pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())]
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["word", "start", "end", "stem"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, "spans"])
+
+
 def stem_spans(texts: DataFrame, text: str = "text") -> DataFrame:
     """`texts` with spans: an array of (word, start, end, stem) of its \\w+ words."""
     kind = "array<struct<word:string,start:int,end:int,stem:string>>"
-
-    def run(frames):
-        for frame in frames:
-            frame["spans"] = [[{"word": m[0], "start": m.start(), "end": m.end(), "stem": porter_stem(m[0].lower())} for m in re.finditer(r"\w+", t or "")] for t in frame[text]]
-            yield frame
-
+    at = texts.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + f", spans {kind}"
-    return texts.mapInPandas(run, schema)
+    return texts.mapInArrow(lambda batches: span_batches(batches, at), schema)
 
 
 @F.pandas_udf(StringType())

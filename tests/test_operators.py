@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,25 @@ def test_entities_and_spans(spark):
     assert [(s.word, s.start, s.end, s.stem) for s in row] == [("Running", 0, 7, "run"), ("cats", 8, 12, "cat")]
 
 
+def test_spans_of_a_batch_are_held_in_slices(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "  ", "Éa_1 x" * 3000] + [" ".join(rng.choices(["Running", "cats", "ponies", "Straße", "a-b"], k=rng.randrange(900))) for _ in range(300)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(st, "SLICE", 10_000)
+    tracemalloc.start()
+    rows, most = [], 0
+    for batch in st.span_batches(iter([whole, whole.slice(0, 0)]), 1):
+        assert batch.num_rows == 1 or sum(len(t or "") for t in batch.column(1).to_pylist()) < 2 * 10_000
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        rows.extend((r["doc_id"], len(r["spans"]), [tuple(x.values()) for x in r["spans"][:50]]) for r in batch.to_pylist())
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    want = [[(m[0], m.start(), m.end(), st.porter_stem(m[0].lower())) for m in re.finditer(r"\w+", t or "")] for t in texts]
+    assert rows == [(i, len(w), w[:50]) for i, w in enumerate(want)]
+    assert most < 30 << 20
+
+
+
 def test_multisets(spark):
     bag = lambda s: spark.createDataFrame(list(Counter(s).items()), "key string, n long")
     got = {how: {r.key: r.n for r in fm.multiset(bag(a), bag(b), how).collect()} for how, a, b in (("add", "abbb", "bcc"), ("subtract", "abbbc", "bccd"), ("union", "abbb", "bcc"), ("intersect", "abbb", "bcc"))}
