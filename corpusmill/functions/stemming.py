@@ -143,6 +143,50 @@ def stem_spans(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.mapInArrow(lambda batches: span_batches(batches, at), schema)
 
 
+def cut_words(words: pa.StringArray, sizes) -> tuple[pa.StringArray, np.ndarray]:
+    """The n-grams of code points of all words, a word's in order of size and place, and how many each word has."""
+    words = pc.cast(words, pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    at = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where characters begin
+    own = np.searchsorted(at, ends - ends[0])
+    counts = np.maximum(0, np.diff(own)[:, None] - np.array(sizes) + 1)
+    each = counts.ravel()
+
+    def counting(n):
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    first = counting(each) + np.repeat(np.repeat(own[:-1], len(sizes)), each)
+    begin, end = at[first], at[first + np.repeat(np.tile(sizes, len(words)), each)]
+    long = end - begin
+    made = data[counting(long) + np.repeat(begin, long)]
+    offsets = np.append(0, np.cumsum(long)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(long), pa.py_buffer(offsets), pa.py_buffer(made)), counts.sum(axis=1)
+
+
+def gram_batches(batches, at: int, sizes=(2, 3)):
+    """Arrow batches with the n-grams of words in place of the words, an array of strings at place `at`; in slices of SLICE characters or one text."""
+    for whole in batches:
+        words = whole.column(at)
+        ends = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.slice(ends[0], ends[-1] - ends[0])
+        ends = ends - ends[0]
+        long = np.append(0, np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False)))[ends]
+        edges = np.append(np.unique(long[1:] // SLICE, return_index=True)[1], whole.num_rows)
+        for first, last in zip(edges, edges[1:]):
+            grams, counts = cut_words(flat.slice(ends[first], ends[last] - ends[first]), sizes)
+            # a text's grams end where those of its last word do
+            offsets = np.append(0, np.cumsum(counts))[ends[first : last + 1] - ends[first]].astype(np.int32)
+            batch = whole.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), grams) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def with_word_grams(rows: DataFrame, words: str, sizes=(2, 3)) -> DataFrame:
+    """`rows` with the character n-grams of its array of words in place of it; no array may be null."""
+    at = rows.columns.index(words)
+    return rows.mapInArrow(lambda batches: gram_batches(batches, at, sizes), rows.schema)
+
+
 @F.pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Numeric and named entities become characters; unknown ones stay."""

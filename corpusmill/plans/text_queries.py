@@ -113,7 +113,8 @@ WITH x AS (SELECT doc_id, list_transform({WS}, lambda w: '_' || lower(regexp_rep
 y AS (SELECT doc_id, flatten(list_transform(w, lambda t: list_concat({chars_sql("t", 2)}, {chars_sql("t", 3)}))) AS w FROM x)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, chr(1))) AS digest FROM y""")
 def _(t):
-    return digest(t, tx.perword_ngrams(COLUMN))
+    d = st.with_word_grams(t.documents.select("doc_id", tx.perword_words(COLUMN).alias("w")), "w")
+    return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "\x01")).alias("digest"))
 
 
 @q("tok_word_ngram", digest_sql(f"list_concat({grams_sql('w', 2)}, {grams_sql('w', 3)})", W, "w"))

@@ -62,6 +62,21 @@ def test_entities_and_spans(spark):
     assert [(s.word, s.start, s.end, s.stem) for s in row] == [("Running", 0, 7, "run"), ("cats", 8, 12, "cat")]
 
 
+def test_grams_of_words_as_arrays(spark, monkeypatch):
+    """Words are cut as arrays of bytes; before, they were cut one by one by Spark's lambdas."""
+    monkeypatch.setattr(st, "SLICE", 50)
+    texts = [None, "", " \t ", "A1b 12 it's  ÉCOLE", "x\u00a0y 😀 𝒳𝒴z_", "ΑΣ_Β ΣΑΣ2 İ 1Σ", "a-" * 400, *["Straße und so"] * 30, "12", "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = rows.select("doc_id", tx.perword_words("text").alias("w"), "text")
+    each = F.transform(tx.whitespace_tokens("text"), lambda w: F.concat(F.lit("_"), F.lower(F.regexp_replace(w, r"[^\p{L}]", "")), F.lit("_")))
+    assert words.select("w").collect() == rows.select(each.alias("w")).collect()
+    got = st.with_word_grams(words, "w", (2, 3))
+    want = [[w[i : i + n] for w in r.w for n in (2, 3) for i in range(len(w) - n + 1)] for r in words.collect()]
+    assert [(r.doc_id, r.w, r.text) for r in got.collect()] == [(i, w, t) for i, (w, t) in enumerate(zip(want, texts))]
+    assert [r.w for r in rows.select(tx.perword_ngrams(F.col("text")).alias("w")).collect()] == want
+    assert st.with_word_grams(words.limit(0), "w").count() == 0
+
+
 def test_spans_of_a_batch_are_held_in_slices(monkeypatch):
     rng = random.Random(4)
     texts = [None, "", "  ", "Éa_1 x" * 3000] + [" ".join(rng.choices(["Running", "cats", "ponies", "Straße", "a-b"], k=rng.randrange(900))) for _ in range(300)]

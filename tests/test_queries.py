@@ -36,6 +36,11 @@ def test_query_agrees_with_sql(spark, name):
     agree(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["tok_perword_ngram"])
+def test_changed_query_agrees_with_sql(spark, name):
+    agree(spark, registry.queries()[name], registry.oracle_sql()[name])
+
+
 def test_whole_arff_header(spark):
     """The header comes back with the class and every other line, not only the features' attributes."""
     query, sql = registry.queries()["snk_arff_header"], registry.oracle_sql()["snk_arff_header"]
