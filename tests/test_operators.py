@@ -21,6 +21,7 @@ from corpusmill.operators import features as fm
 from corpusmill.operators import learners as ml
 from corpusmill.operators import meta as mt
 from corpusmill.operators import metadata as md
+from corpusmill.streaming import online
 from corpusmill.operators import prototypes as pr
 from corpusmill.operators import sequences as sq
 from corpusmill.operators import splits as sp
@@ -62,6 +63,35 @@ def test_entities_and_spans(spark):
     assert [(s.word, s.start, s.end, s.stem) for s in row] == [("Running", 0, 7, "run"), ("cats", 8, 12, "cat")]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_byte_grams_as_numbers(spark, n):
+    texts = [(1, "abcabcab"), (2, None), (3, ""), (4, "é😀x" * 50), (1, "abcabcab"), (5, "a" * 6), (None, "abababab")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = fm.byte_gram_counts(rows, n)
+    want = fm.feature_counts(rows, tx.byte_ngrams(F.col("text"), n))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # no row of a single place is made
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_naive_bayes_joins_features_once(spark):
+    features = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (3, "q", 7)], "instance_id long, feature string, value long")
+    classes = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (9, "w")], "instance_id long, label string")
+    model = cf.nb_model(features, classes)
+    test = spark.createDataFrame([(5, "a", 1), (5, "b", 2), (5, "new", 9), (6, "new", 1), (7, "q", 4)], "instance_id long, feature string, value long")
+    scores = cf.nb_predict(model, test)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0
+    # V counts a, b and q; q has no class, so it isn't known
+    n = {"w": {}, "x": {"a": 2, "b": 1}, "y": {"b": 3}, "z": {"b": 3}}
+    own = {5: {"a": 1, "b": 2}, 6: {}, 7: {}}
+    want = {(i, c): sum(v * math.log(1 + k.get(f, 0)) for f, v in d.items()) - sum(d.values()) * math.log(3 + sum(k.values())) for i, d in own.items() for c, k in n.items()}
+    assert {(r.instance_id, r.label): pytest.approx(r.score) for r in scores.collect()} == want
+    texts = spark.createDataFrame([(5, "t"), (6, ""), (8, None)], "doc_id long, text string")
+    assert {r.instance_id for r in online.classify_texts(model, texts, None, counts=test.where("instance_id < 7")).collect()} == {5, 6, 8}
+
+
 def test_grams_of_words_as_arrays(spark, monkeypatch):
     """Words are cut as arrays of bytes; before, they were cut one by one by Spark's lambdas."""
     monkeypatch.setattr(st, "SLICE", 50)
