@@ -371,6 +371,22 @@ def test_approximate_neighbours_recall(spark):
     assert sum(got.get(i) == best[i] for i in queries) >= 0.9 * len(queries)
 
 
+def test_approximate_neighbours_by_blocks_without_a_join(spark, monkeypatch):
+    for name, size in (("AT_ONCE", 20), ("QUERIES", 7), ("ROWS", 50), ("PAIRS", 100)):
+        monkeypatch.setattr(ml, name, size)
+    rows = ml.dense(spark.read.parquet(f"{SMALL}/embeddings.parquet")).select("vec_id", "features")
+    rows = rows.union(rows.where("vec_id < 9").selectExpr("vec_id + 100000", "features"))  # ties
+    asked = rows.where("vec_id % 10 = 0")
+    got = ml.approximate_nearest(rows, asked, "vec_id", threshold=15.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    model = ml.BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=16, seed=ml.SEED).fit(rows)
+    pairs = model.approxSimilarityJoin(asked, rows, 15.0, distCol="dist").selectExpr("datasetA.vec_id AS test", "datasetB.vec_id AS train", "dist").where("test <> train")
+    want = pairs.groupBy("test").agg(F.min(F.struct("dist", "train")).alias("b")).collect()
+    assert {(r.test, r.train, round(r.dist, 9)) for r in got.collect()} == {(r.test, r.b.train, round(r.b.dist, 9)) for r in want} != set()
+    assert ml.approximate_nearest(rows, asked.limit(0), "vec_id").count() == 0
+
+
 def occurrences(text, keywords):
     return sorted((i, k) for k in set(keywords) if k for i in range(len(text) - len(k) + 1) if text.startswith(k, i))
 
