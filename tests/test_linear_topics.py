@@ -90,3 +90,33 @@ def test_planted_topics(spark):
     assert run(2) == got
     with pytest.raises(ValueError, match="cells"):
         topics.gibbs_topics(frame, topics.MOST_CELLS, 1)
+
+
+def test_documents_abreast_are_swept_as_one_by_one():
+    """All documents go through a cell at once; each draws what it would draw alone, word by word and token by token."""
+    rng = np.random.default_rng(5)
+    k, words, alpha, beta = 3, 9, 0.5, 0.1
+    cells = [np.sort(rng.choice(words, size, replace=False)) for size in (4, 1, 9, 2, 9, 1)]
+    counts = [rng.integers(1, 40, len(c)) for c in cells]
+    begin, base = np.cumsum([0, *map(len, cells)]), rng.integers(0, 1 << 63, len(cells)).astype(np.uint64)
+    w, n = np.concatenate(cells), np.concatenate(counts)
+    spread = topics._swept(w, n, begin, np.zeros((len(w), k), np.int64), base, None, alpha, beta)
+    assert (spread.sum(axis=1) == n).all()
+    table = np.zeros((words, k))
+    np.add.at(table, w, spread)
+    got = topics._swept(w, n, begin, spread.copy(), base, (table, table.sum(axis=0)), alpha, beta)
+    for i, (a, b) in enumerate(zip(begin, begin[1:])):
+        own, done, now = spread[a:b].sum(axis=0), 0, spread[a:b].copy()
+        rest = table.sum(axis=0) - own + words * beta
+        for c in range(b - a):
+            own = own - now[c]
+            p = np.cumsum((own + alpha) * (table[w[a + c]] - now[c] + beta) / (rest + own))
+            now[c] = 0
+            for _ in range(n[a + c]):
+                now[c, np.searchsorted(p, topics._uniform(base[i : i + 1], np.array([done]))[0] * p[-1], side="right")] += 1
+                done += 1
+            own = own + now[c]
+        assert (now == got[a:b]).all()
+    # shares of draws follow the weights
+    drawn = topics._drawn(np.array([[1.0, 2.0, 5.0]]), np.array([200_000]), base[:1], np.zeros(1, np.int64))
+    assert np.abs(drawn / 200_000 - [[0.125, 0.25, 0.625]]).max() < 0.005
