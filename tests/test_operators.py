@@ -92,6 +92,19 @@ def test_naive_bayes_joins_features_once(spark):
     assert {r.instance_id for r in online.classify_texts(model, texts, None, counts=test.where("instance_id < 7")).collect()} == {5, 6, 8}
 
 
+def test_learners_share_folds_and_counts(spark):
+    rng = random.Random(6)
+    features = spark.createDataFrame([(i, f"w{w}", rng.randrange(1, 4)) for i in range(30) for w in rng.sample(range(12), 4)], "instance_id long, feature string, value long")
+    classes = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(28)], "instance_id long, label string")
+    folds = spark.createDataFrame([(i, i % 4) for i in range(30)], "instance_id long, test_fold int")
+    shared = cf.in_folds(features, folds).cache()
+    both = cf.nb_counts_of_both(shared, classes).cache()
+    for boolean, name in ((False, "n"), (True, "b")):
+        scores = lambda f, counts: {(r.fold, r.instance_id, r.label): pytest.approx(r.score) for r in cf.naive_bayes_cv(f, classes, folds, boolean, counts=counts).collect()}
+        got = scores(shared, both.select("test_fold", "label", "feature", F.col(name).alias("n")))
+        assert len(got) == 90 and got == {k: v.expected for k, v in scores(features, None).items()}
+
+
 def test_grams_of_words_as_arrays(spark, monkeypatch):
     """Words are cut as arrays of bytes; before, they were cut one by one by Spark's lambdas."""
     monkeypatch.setattr(st, "SLICE", 50)
