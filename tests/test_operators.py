@@ -92,6 +92,26 @@ def test_naive_bayes_joins_features_once(spark):
     assert {r.instance_id for r in online.classify_texts(model, texts, None, counts=test.where("instance_id < 7")).collect()} == {5, 6, 8}
 
 
+def test_tasks_join_test_features_once(spark):
+    train = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (3, "c", 1)], "instance_id long, feature string, value long")
+    classes = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "instance_id long, label string")
+    branches = [("n", "x", "left"), ("n", "y", "right"), ("m", "y", "left"), ("m", "z", "right")]
+    test = spark.createDataFrame([(7, "a", 2), (7, "b", 1), (7, "c", 5), (8, "new", 1)], "instance_id long, feature string, value long")
+    at = spark.createDataFrame([(7, "n"), (7, "m"), (8, "m")], "instance_id long, node string")
+    found = cf.nb_nodes(train, classes, spark.createDataFrame(branches, "node string, label string, branch string"), test, at)
+    # no row of a test feature is multiplied by nodes or branches
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {("n", "left"): {"a": 2, "b": 1}, ("n", "right"): {"b": 3}, ("m", "left"): {"b": 3}, ("m", "right"): {"c": 1}}
+    known = {"n": {"a": 2, "b": 1}, "m": {"b": 1, "c": 5}}
+    want = {}
+    for i, n in ((7, "n"), (7, "m"), (8, "m")):
+        own = known[n] if i == 7 else {}
+        for b in ("left", "right"):
+            c = counts[n, b]
+            want[i, n, b] = pytest.approx(sum(v * math.log(1 + c.get(f, 0)) for f, v in own.items()) - sum(own.values()) * math.log(3 + sum(c.values())))
+    assert {(r.instance_id, r.node, r.branch): r.score for r in found.collect()} == want
+
+
 def test_learners_share_folds_and_counts(spark):
     rng = random.Random(6)
     features = spark.createDataFrame([(i, f"w{w}", rng.randrange(1, 4)) for i in range(30) for w in rng.sample(range(12), 4)], "instance_id long, feature string, value long")

@@ -36,7 +36,7 @@ def test_query_agrees_with_sql(spark, name):
     agree(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["tok_perword_ngram", "on_classify_batch", "ex_grid"])
+@pytest.mark.parametrize("name", ["tok_perword_ngram", "on_classify_batch", "ex_grid", "mt_ordinal_learn", "clf_class_tree_nodes"])
 def test_changed_query_agrees_with_sql(spark, name):
     agree(spark, registry.queries()[name], registry.oracle_sql()[name])
 
